@@ -11,7 +11,9 @@ rows are packed once each; other columns are ignored; an empty table gives an em
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +27,10 @@ from .common import Scratch
 
 WINDOW = 4096
 END_ID = 2
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000
 MEMO_CHARS = 48
+TEXTS = 256
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -34,11 +38,16 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordTokens:
     """Token ids of texts through a memo of white-space separated chunks.
 
-    The vocabulary's pre-tokeniser never joins across white space, so a text's ids are its
-    chunks' ids in order. Texts with the information separators (white space to Python, not to
-    the tokeniser) and long chunks go to the tokeniser directly.
+    The vocabulary's pre-tokeniser never joins across white space, nor a run of letters with one of marks, and
+    lowers all letters first; so a text's ids are its chunks' ids in order, and a word followed by marks has
+    the word's ids and then the marks'. Chunks not met lately are encoded together, as one string. A text
+    with the information separators (white space to Python, not to the tokeniser) is encoded directly.
+    Two generations of the memo bound its memory and keep the frequent chunks.
     """
 
+    PLAIN = re.compile("[^\\x00-\u012f\u0131-\u024f\u2010-\u2027\u20ac]")
+    MARKED = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff\u0153]+)([.,!?;:%&$*#|)]+)")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -46,42 +55,81 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _encode(self, chunks: list[str]) -> None:
+        """Put the ids of chunks without white space in the memo, by one call and its offsets."""
+        got = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
+        first = np.array([a for a, _ in got.offsets], np.int64)
+        cut = np.searchsorted(first, np.cumsum(size)) * self.dtype.itemsize
+        ids = self._pack(got.ids)
+        at = 0
+        for chunk, end in zip(chunks, cut.tolist(), strict=True):
+            self.memo[chunk] = ids[at:end]
+            at = end
+
     def _learn(self, words: set[str]) -> None:
-        found = list(words)
-        for word, got in zip(found, self.tokenizer.encode_batch_fast(found, add_special_tokens=False), strict=True):
-            self.memo[word] = self._pack(got.ids)
-
-    def __call__(self, text: str) -> bytes:
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = text.split()
-        memo = self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
+        memo, older = self.memo, self.older
         if len(memo) > MEMO_WORDS:
-            memo.clear()
-        self._learn({w for w in words if w not in memo})
-        out = b"".join([memo[w] for w in words])
-        for w in {w for w in words if len(w) > MEMO_CHARS}:
-            del memo[w]
+            self.older, self.memo = memo, {}
+            memo, older = self.memo, self.older
+        marked, fresh = [], set()
+        for word in words:
+            if word in memo:
+                continue
+            if (known := older.get(word)) is not None:
+                memo[word] = known
+            elif m := self.MARKED.fullmatch(word):
+                marked.append((word, m[1], m[2]))
+                for part in (m[1], m[2]):
+                    if part not in memo:
+                        if (known := older.get(part)) is not None:
+                            memo[part] = known
+                        else:
+                            fresh.add(part)
+            else:
+                fresh.add(word)
+        if fresh:
+            self._encode(list(fresh))
+        for word, letters, marks in marked:
+            memo[word] = memo[letters] + memo[marks]
+
+    def _direct(self, text: str) -> bytes:
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, packed; chunks that are new are learnt for all texts at once."""
+        split = [None if SEPARATORS.search(t) else (t.lower() if t.isascii() or not self.PLAIN.search(t) else t).split() for t in texts]
+        fresh = set().union(*[words for words in split if words])
+        self._learn(fresh)
+        memo = self.memo
+        out = [self._direct(t) if words is None else b"".join([memo[w] for w in words]) for t, words in zip(texts, split, strict=True)]
+        for word in [w for w in fresh if len(w) > MEMO_CHARS]:
+            del memo[word]
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _tokens(path: str) -> WordTokens:
+    """One memo per Python worker, kept from task to task."""
+    return WordTokens(path)
+
+
 def _pass_one(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = _tokens(path)
         end = np.array([end_id], tokens.dtype).tobytes()
         width = tokens.dtype.itemsize
         part = TaskContext.get().partitionId()
         at = 0
         for batch in batches:
-            ids = [tokens(t.as_py() or "") + end for t in batch.column("text")]
+            ids = []
+            for k in range(0, batch.num_rows, TEXTS):
+                ids += [x + end for x in tokens.many([t or "" for t in batch.column("text").slice(k, TEXTS).to_pylist()])]
             n = np.array([len(x) // width for x in ids], np.int64)
             start = at + np.cumsum(n) - n
             at += int(n.sum())

@@ -10,7 +10,11 @@ from . import query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": query.op1_mixing,
+    "op2_pii": query.op2_pii,
+    "op7_secrets": query.op7_secrets,
     "op8_packing": query.op8_packing,
+    "op9_quality": query.op9_quality,
+    "op10_toxicity": query.op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
