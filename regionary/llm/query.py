@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, pii, quality, secrets, toxicity
+from . import embeddups, mixing, neardup, packing, pii, quality, secrets, topk, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_embeddups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("class")
 
