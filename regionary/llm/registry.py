@@ -11,6 +11,7 @@ from . import query
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": query.op1_mixing,
     "op2_pii": query.op2_pii,
+    "op3_repeats": query.op3_repeats,
     "op4_topk": query.op4_topk,
     "op6_embeddups": query.op6_embeddups,
     "op5_neardup": query.op5_neardup,
