@@ -219,7 +219,8 @@ def _pieces(width: int):
                 while j <= last:
                     bucket = (lead - j) // width
                     end = min(last, lead - bucket * width)
-                    core = body[end : j + LENGTH]
+                    # what the whole bucket's windows share, also where the segment holds only some of them
+                    core = body[lead - bucket * width : lead - (bucket + 1) * width + 1 + LENGTH]
                     key = xxhash.xxh3_64_intdigest(core, seed=xxhash.xxh3_64_intdigest(f"{anchor}:{bucket}".encode()))
                     piece = body[j : end + LENGTH]
                     out.append((key - (1 << 64) if key >> 63 else key, xxhash.xxh3_128_digest(piece, seed=(lead - j) % width), copies, lead - j, piece))
