@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 STOP_WORDS = {
     "en": ("the", "and", "of", "to", "in", "is", "for", "with", "on", "that", "this", "by", "are", "was", "from"),
@@ -133,7 +134,7 @@ def punctuation(c: Column, table: Sequence[tuple[str, str]] = (("…", "..."), (
     return F.regexp_replace(c, "  +", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """SC1: Unicode NFC, which Spark lacks."""
     for s in batches:
