@@ -83,13 +83,13 @@ class Shingles:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """The minimum of each hash function over a set, 32 bits."""
+    """Sixteen bits from the middle of the minimum of each hash function over a set."""
     least = np.full(HASHES, (1 << 64) - 1, np.uint64)
     for k in range(0, len(s), 1024):
         x = s[k : k + 1024, None] * _MULTIPLY
         x ^= x >> np.uint64(33)
         least = np.minimum(least, (x * _MIX).min(0))
-    return (least >> np.uint64(32)).astype("<u4")
+    return ((least >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2")
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def _hash(x: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
 
 
 def _children(node: np.ndarray, sk: np.ndarray, pick: np.ndarray, salt: int) -> np.ndarray:
@@ -133,7 +133,7 @@ def _root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in range(ROOTS):
                 pick = np.full(len(sk), (tree * ROOTS + j) % HASHES)
                 child = _children(np.full(len(sk), tree, np.uint64), sk, pick, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(child), batch.column("class"), batch.column("sketch")], names=["node", "class", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(child), batch.column("class")], names=["node", "class"])
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,16 +244,18 @@ class Join:
         self.classes = scratch.save(full.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     def split(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Small nodes of two classes and more, and large ones; written."""
+        """Small nodes of two classes and more, and large ones; written. Roots get their sketches only now."""
         counts = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        both = self.scratch.save(nodes.join(counts, "node"))
-        self.written = both
+        both = nodes.join(counts, "node")
+        if "sketch" not in nodes.columns:
+            both = self.scratch.save(both).join(self.classes.select("class", "sketch"), "class")
+        both = self.scratch.save(both.select("node", "class", "sketch", "size"))
         return both.filter(F.col("size") <= SMALL).drop("size"), both.filter(F.col("size") > SMALL).drop("size")
 
     def forest(self) -> tuple[list[DataFrame], DataFrame]:
         """Small nodes level by level, and what is still large."""
         small = []
-        nodes = self.classes.select("class", "sketch").mapInArrow(_root, NODE)
+        nodes = self.classes.select("class", "sketch").mapInArrow(_root, "node long, class binary")
         for level in range(LEVELS):
             few, many = self.split(nodes)
             small.append(few)
