@@ -36,6 +36,7 @@ HASHES = 64
 TREES = 14
 ROOTS = 2
 SMALL = 48
+WIDE = 384
 LEVELS = 7
 DEEPEST = 40
 ALIKE = 0.70
@@ -243,14 +244,14 @@ class Join:
         full = self.rows.filter("n > 0")
         self.classes = scratch.save(full.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
-    def split(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def split(self, nodes: DataFrame, few: int = SMALL) -> tuple[DataFrame, DataFrame]:
         """Small nodes of two classes and more, and large ones; written. Roots get their sketches only now."""
         counts = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         both = nodes.join(counts, "node")
         if "sketch" not in nodes.columns:
             both = self.scratch.save(both).join(self.classes.select("class", "sketch"), "class")
         both = self.scratch.save(both.select("node", "class", "sketch", "size"))
-        return both.filter(F.col("size") <= SMALL).drop("size"), both.filter(F.col("size") > SMALL).drop("size")
+        return both.filter(F.col("size") <= few).drop("size"), both.filter(F.col("size") > few).drop("size")
 
     def forest(self) -> tuple[list[DataFrame], DataFrame]:
         """Small nodes level by level, and what is still large."""
@@ -307,13 +308,14 @@ class Join:
         labels = self.scratch.save(components(self.scratch, edges))
 
         pairs = self.by_node(self.mixed(few, labels).select("node", "class", "sketch", "root")).mapInArrow(_rest, PAIR)
-        todo = [pairs]
+        todo = [self.scratch.save(pairs)]
+        # what is large and still mixed branches on; each level is written, so plans stay small
         for _ in range(DEEPEST):
-            many = self.mixed(many, labels).select("node", "class", "sketch")
-            few, many = self.split(many.mapInArrow(_branch, NODE))
-            todo.append(self.by_node(self.mixed(few, labels).select("node", "class", "sketch", "root")).mapInArrow(_rest, PAIR))
+            many = self.scratch.save(self.mixed(many, labels).select("node", "class", "sketch"))
             if many.isEmpty():
                 break
+            few, many = self.split(many.mapInArrow(_branch, NODE), WIDE)
+            todo.append(self.scratch.save(self.by_node(self.mixed(few, labels).select("node", "class", "sketch", "root")).mapInArrow(_rest, PAIR)))
         pairs = todo[0]
         for more in todo[1:]:
             pairs = pairs.unionByName(more)
