@@ -4,7 +4,7 @@ A document is toxic if any of its sentences is: P = 1 - prod(1 - p_s), with p_s
 the sentence's hashed words and word stems. Only documents carry labels; the gradient of the document's likelihood
 reaches the sentences by way of the noisy-or. Scoring also returns the worst sentence, as a range of words.
 
-The fit takes at most ``grams.LABELLED`` rows of each class, those of least id hash; every document is
+The fit takes at most ``LABELLED`` rows of each class, those of least id hash; every document is
 scored, whole. Defined results: null and empty texts score 0; sentences end at a word that ends in a full stop,
 question or exclamation mark or ellipsis, and after ``LONGEST`` words at the latest; labels other than
 0 and 1 teach nothing; without both classes the score is 0 throughout.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from . import grams
 
 LONGEST = 40
+LABELLED = 2500
 WIDTH = 1 + len(grams.STEMS)
 EPOCHS = 80
 RATE = 0.05
@@ -96,14 +97,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Model:
         found[k, np.unique(ids)] += 1
     number = np.bincount(label, minlength=2)
     live = np.flatnonzero(found.sum(0) >= LEAST_DOCS)
-    place = np.full(size, len(live))
-    place[live] = np.arange(len(live))
+    place = np.full(size, len(live), np.int32)
+    place[live] = np.arange(len(live), dtype=np.int32)
     place[0] = len(live)
     ids = place[np.concatenate([r[0].ravel() for r in rows])]
     counts = np.array([int(r[1][-1]) + 1 for r in rows])
     begin = np.cumsum(counts) - counts
-    sentence = np.concatenate([r[1] + s for r, s in zip(rows, begin, strict=True)])
-    doc = np.repeat(np.arange(len(rows)), counts)
+    sentence = np.concatenate([(r[1] + s).astype(np.int32) for r, s in zip(rows, begin, strict=True)])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), counts)
     sentence = np.repeat(sentence, WIDTH)
     share = (found[:, live] + 0.5) / (number[:, None] + 1)
     seen = found[:, live].sum(0)
@@ -128,8 +129,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0) -> Model:
     """Learns from labels whose id's crc32 modulo ``folds`` is not ``held``."""
-    got = grams.labelled(docs, labels, label, grams.mod("doc_id", folds) != held, _features, "doc_id long, label int, ids binary, sentence binary")
-    rows = [(np.frombuffer(r["ids"], "<u4").astype(np.int64).reshape(-1, WIDTH), np.frombuffer(r["sentence"], "<u4").astype(np.int64)) for r in got]
+    got = grams.labelled(docs, labels, label, grams.mod("doc_id", folds) != held, _features, "doc_id long, label int, ids binary, sentence binary", LABELLED)
+    rows = [(np.frombuffer(r["ids"], "<i4").reshape(-1, WIDTH), np.frombuffer(r["sentence"], "<i4")) for r in got]
     return fit(rows, np.array([r["label"] for r in got], np.int64))
 
 
