@@ -1,8 +1,9 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document is its set of five-word shingles. Equal sets form one class first, so copies cost nothing
-more. Each class carries the minima of ``HASHES`` hash functions. In every one of ``TREES`` trees the
-classes branch by selected minwise tokens: a node picks 4/3 of the functions on average (one over
+more. Each class carries ``HASHES`` minwise tokens, the least
+members of as many ranges of hash values. In every one of ``TREES`` trees the
+classes branch by selected minwise tokens: a node picks 4/3 of the tokens on average (one over
 the threshold), and a class goes to the child named by its token there. A node of at most ``SMALL``
 classes is compared exhaustively; a larger one branches on. Independent trees bring the recall up.
 
@@ -43,9 +44,16 @@ ALIKE = 0.70
 MAYBE = 0.55
 MEMO_WORDS = 250_000
 
-_RNG = np.random.default_rng(11)
-_MULTIPLY = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The lower edges of the ranges, and the greatest value; and the ranges that stand in for an empty one, in turn.
+_EDGES = np.append(np.arange(HASHES, dtype=np.uint64) * np.uint64((1 << 64) // HASHES), np.uint64((1 << 64) - 1))
+_PROBES = np.random.default_rng(11).permuted(np.tile(np.arange(HASHES), (HASHES, 1)), axis=1)
+
+
+def _hash(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class Shingles:
@@ -84,13 +92,20 @@ class Shingles:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Sixteen bits from the middle of the minimum of each hash function over a set."""
-    least = np.full(HASHES, (1 << 64) - 1, np.uint64)
-    for k in range(0, len(s), 1024):
-        x = s[k : k + 1024, None] * _MULTIPLY
-        x ^= x >> np.uint64(33)
-        least = np.minimum(least, (x * _MIX).min(0))
-    return ((least >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2")
+    """Thirty-two bits of the least member in each of ``HASHES`` equal ranges of hash values.
+
+    The members are sorted, so a range's least is where its lower edge falls. An empty range takes the token
+    of the first non-empty one in a sequence of ranges fixed for it, so that two sets agree there as
+    often as in any other (one-permutation hashing with optimal densification).
+    """
+    at = np.searchsorted(s, _EDGES)
+    full = at[1:] > at[:-1]
+    tokens = _hash(s[np.minimum(at[:-1], len(s) - 1)]).astype("<u4")
+    if full.all():
+        return tokens
+    probe = _PROBES[~full]
+    tokens[~full] = tokens[probe[np.arange(len(probe)), full[probe].argmax(1)]]
+    return tokens
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,14 +127,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "members"])
 
 
-def _hash(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
 
 
 def _children(node: np.ndarray, sk: np.ndarray, pick: np.ndarray, salt: int) -> np.ndarray:
