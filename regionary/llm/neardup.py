@@ -42,7 +42,7 @@ LEVELS = 7
 DEEPEST = 40
 ALIKE = 0.70
 MAYBE = 0.55
-MEMO_WORDS = 250_000
+BLOCK = 1 << 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: The lower edges of the ranges, and the greatest value; and the ranges that stand in for an empty one, in turn.
@@ -50,34 +50,59 @@ _EDGES = np.append(np.arange(HASHES, dtype=np.uint64) * np.uint64((1 << 64) // H
 _PROBES = np.random.default_rng(11).permuted(np.tile(np.arange(HASHES), (HASHES, 1)), axis=1)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_UP, _DOWN = _powers(_BASE, BLOCK), _powers(_INVERSE, BLOCK)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: A random number for each byte, the same for A-Z as for a-z.
+_BYTE = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+
+
 def _hash(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def _words(data: bytes) -> np.ndarray:
+    """A hash of every word, from prefix sums of a polynomial over its bytes; A-Z count as a-z."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + BLOCK
+        while end < len(data) and not _SPACE[data[end - 1]]:  # a block ends after white space, or with the text
+            back = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, end - at, at)])
+            end = at + int(back[-1]) + 1 if len(back) else min(len(data), 2 * end - at)
+        x = np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)
+        at = end
+        inside = np.zeros(len(x) + 2, np.int8)
+        inside[1:-1] = ~_SPACE[x]
+        turn = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = turn[::2], turn[1::2]
+        up, down = (_UP, _DOWN) if len(x) <= BLOCK else (_powers(_BASE, len(x)), _powers(_INVERSE, len(x)))
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(_BYTE[x] * up[: len(x)], out=sums[1:])
+        out.append(_hash((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 class Shingles:
-    """Hashed shingle sets of texts, by way of a memo of words."""
+    """Hashed shingle sets of texts."""
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.memo: dict[bytes, int] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes; words are of ASCII white space, only A-Z are lowered."""
-        split = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not split:
-            return np.zeros(0, np.uint64)
-        memo = self.memo
-        try:
-            h = np.array([memo[w] for w in split], np.uint64)
-        except KeyError:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            for w in split:
-                if w not in memo:
-                    memo[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.array([memo[w] for w in split], np.uint64)
+        h = _words((text or "").encode("utf-8", "surrogatepass"))
+        if not len(h):
+            return h
         n = len(h) - self.words + 1
         if n < 1:
             return np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64)
@@ -88,7 +113,8 @@ class Shingles:
             out += h[k : k + n]
         out ^= out >> np.uint64(29)
         out *= _MIX
-        return np.unique(out)
+        out.sort()
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
