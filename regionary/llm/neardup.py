@@ -304,8 +304,9 @@ class Join:
         """Pairs that reach the threshold on their full sets."""
         pairs = self.scratch.save(pairs.distinct())
         of = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        ids = self.classes.join(of, "class", "left_semi").select(F.col("least").alias("id__"))
-        texts = self.docs.select("doc_id", "text").join(ids.distinct(), F.col("doc_id").eqNullSafe(F.col("id__")), "left_semi")
+        # written, so that its size is known: while it is small, the texts stay where they are
+        ids = self.scratch.save(self.classes.join(of, "class", "left_semi").select(F.col("least").alias("id__")).distinct())
+        texts = self.docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id__")), "left_semi")
         sets = texts.mapInArrow(_sets, "class binary, members binary").join(of, "class", "left_semi")
         sets = self.scratch.save(sets.groupBy("class").agg(F.first("members").alias("members")))
         both = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("left")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("right")), "b")
