@@ -41,7 +41,7 @@ WIDE = 384
 LEVELS = 7
 DEEPEST = 40
 ALIKE = 0.70
-MAYBE = 0.55
+MAYBE = 0.45
 BLOCK = 1 << 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
