@@ -1,16 +1,19 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Vectors are compared within their label only. Equal vectors form one class first. A tree's root is a
-label; a node of more than ``SMALL`` classes is split at the median of its projections on a random
-direction, and classes within ``SPILL`` of the cut go to both sides. Leaves are compared
+label; a node of more than ``SMALL`` classes is split by its projections on a random direction, at the one of
+five quantiles with the least spill: classes within ``SPILL`` of the cut go to both sides. Leaves are compared
 exhaustively in double precision, and links are joined into components.
 
 Links are counted without writing them: a pair is counted in the least of the leaves that both its
 classes are in, so each leaf yields one count for a class and a spanning forest of its links. A leaf
-that no split makes smaller (thousands of vectors nearly alike) is compared in blocks against blocks, which is exact.
+of which every cut spills a seventh (thousands of vectors nearly alike) is compared in blocks against blocks, which is exact.
 
-Two unit vectors with cosine 0.98 differ by at most 0.2, so their projections on a random direction
-of 64 dimensions differ by 0.025 on average; a split loses the pair only beyond 2 * SPILL.
+Projections are scaled by the root of the dimension, so that those of unit vectors spread by 1 or so.
+Two unit vectors with cosine 0.98 differ by at most 0.2, and so do their projections on average; a
+split loses the pair only beyond 2 * SPILL, which is 1 % of such pairs a level. With three trees of six
+levels that is 1 in 5000 pairs, of 25 levels 1 in 90. The spill makes a tree 10 % larger a level. As
+every cut leaves at least a fifth on either side and spills less than ``WASTE``, each side is smaller.
 
 Defined results: null, zero and incomplete vectors (null or not finite components), and null labels, link with
 nothing; vectors of unlike length don't link; repeated rows are other vectors, linked if valid; a null
@@ -34,10 +37,13 @@ from .neardup import _groups
 COSINE = 0.98
 TREES = 3
 SMALL = 256
+WHOLE = 8192
 BLOCK = 512
-SPILL = 0.04
+SPILL = 0.12
 LEVELS = 24
-SHRINKS = 0.95
+WAYS = 4
+QUANTILES = [0.5, 0.35, 0.65, 0.2, 0.8]
+WASTE = 0.15
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -78,7 +84,7 @@ def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in np.unique(place[rows]):
                 mine = place[rows] == k
                 way = np.random.default_rng([int(which[k]) & (1 << 62) - 1, n]).standard_normal(x.shape[1])
-                out[rows[mine]] = x[mine] @ (way / np.sqrt(way @ way))
+                out[rows[mine]] = x[mine] @ (way * np.sqrt(x.shape[1] / (way @ way)))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "at"])
 
 
@@ -92,22 +98,36 @@ def _exact(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.nda
     return (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1)) >= COSINE
 
 
-def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
-    """Positions of links that join two parts; at most n - 1."""
-    root = list(range(n))
+def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links in a symmetric matrix; at most one link fewer than rows."""
+    left = linked.any(1)
+    out = []
+    for start in range(len(linked)):
+        if not left[start]:
+            continue
+        left[start] = False
+        todo = [start]
+        while todo:
+            v = todo.pop()
+            new = np.flatnonzero(linked[v] & left)
+            left[new] = False
+            out += [(v, w) for w in new.tolist()]
+            todo += new.tolist()
+    return out
 
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
 
-    out = []
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append(k)
+def _met_before(homes: list[list[int]], leaf: int) -> np.ndarray:
+    """Which pairs of rows share a leaf that is less than this one."""
+    row = np.repeat(np.arange(len(homes)), [len(h) for h in homes])
+    which = np.array([k for h in homes for k in h], np.int64)
+    less = which < leaf
+    names, place = np.unique(which[less], return_inverse=True)
+    out = np.zeros((len(homes), len(homes)), bool)
+    for k in range(0, len(names), BLOCK):
+        at = (place >= k) & (place < k + BLOCK)
+        here = np.zeros((len(homes), BLOCK), np.float32)
+        here[row[less][at], place[at] - k] = 1
+        out |= here @ here.T > 0
     return out
 
 
@@ -121,57 +141,97 @@ def _leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = t.column("side").to_numpy()
         keys, raw, copies, homes = (t.column(c).to_pylist() for c in ("class", "vector", "copies", "leaves"))
         copies = np.array(copies, np.int64)
-        homes = [frozenset(h) for h in homes]
+        before = _met_before(homes, leaf)
         counts: dict[bytes, int] = {}
         edges: list[tuple[bytes, bytes]] = []
         for n, rows in _by_length(raw).items():
             x = np.frombuffer(b"".join([raw[k] for k in rows]), np.float64).reshape(len(rows), -1)
             u = unit(x)
-            left, right = np.flatnonzero(side[rows] == 0), np.flatnonzero(side[rows] == 1)
-            own = len(right) == 0
-            if own:
-                right = left
-            i, j = np.nonzero(_compare(u[left], u[right]))
-            i, j = left[i], right[j]
-            if own:
-                i, j = i[i < j], j[i < j]
-            good = _exact(x, i, x, j)
-            i, j = i[good], j[good]
-            for k in _spanning(len(rows), i, j):
-                edges.append((keys[rows[i[k]]], keys[rows[j[k]]]))
-            a, b = rows[i], rows[j]
-            first = np.array([min(homes[p] & homes[q]) == leaf for p, q in zip(a.tolist(), b.tolist(), strict=True)], bool)
-            total = np.bincount(a[first], weights=copies[b[first]], minlength=len(raw)) + np.bincount(b[first], weights=copies[a[first]], minlength=len(raw))
+            other = side[rows] == 1
+            asked = other[:, None] != other[None, :] if other.any() else ~np.eye(len(rows), dtype=bool)
+            i, j = np.nonzero(np.triu(asked & _compare(u, u)))
+            linked = np.zeros((len(rows), len(rows)), bool)
+            for k in range(0, len(i), BLOCK * 128):
+                p, q = i[k : k + BLOCK * 128], j[k : k + BLOCK * 128]
+                linked[p, q] = linked[q, p] = _exact(x, p, x, q)
+            edges += [(keys[rows[p]], keys[rows[q]]) for p, q in _spanning(linked)]
+            total = (linked & ~before[np.ix_(rows, rows)]) @ copies[rows]
             for k in np.flatnonzero(total):
-                counts[keys[k]] = counts.get(keys[k], 0) + int(total[k])
+                counts[keys[rows[k]]] = counts.get(keys[rows[k]], 0) + int(total[k])
         a = [k for k in counts] + [e[0] for e in edges]
         b = [None] * len(counts) + [e[1] for e in edges]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([*counts.values(), *[0] * len(edges)], pa.int64())], names=["a", "b", "links"])
 
 
+def _best_split(x: np.ndarray, name: int) -> list[np.ndarray]:
+    """Positions on both sides of the cut with the least spill, of some directions and quantiles; none if all spill too much."""
+    ways = np.random.default_rng([name, x.shape[1]]).standard_normal((WAYS, x.shape[1]))
+    best, sides = WASTE * len(x), []
+    for at in (x @ (ways * np.sqrt(x.shape[1] / (ways * ways).sum(1, keepdims=True))).T).T:
+        for cut in np.quantile(at, QUANTILES):
+            low, high = at <= cut + SPILL, at > cut - SPILL
+            size = int(low.sum() + high.sum()) - len(x)
+            if size < best:
+                best, sides = size, [np.flatnonzero(low), np.flatnonzero(high)]
+    return sides
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, class) of the leaves below each node of at most ``WHOLE`` classes, which are split in memory."""
+    for t in _groups(batches, "node"):
+        keys, raw = t.column("class").to_pylist(), t.column("vector").to_pylist()
+        top = t.column("node")[0].as_py()
+        names, members = [], []
+        for n, rows in _by_length(raw).items():
+            x = unit(np.frombuffer(b"".join([raw[i] for i in rows]), np.float64).reshape(len(rows), -1))
+            todo = [(xxhash.xxh3_64_intdigest(f"{top} {n}"), np.arange(len(rows)))]
+            while todo:
+                name, mine = todo.pop()
+                halves = [mine[side] for side in _best_split(x[mine], name)] if len(mine) > SMALL else []
+                for k, half in enumerate(halves or [mine]):
+                    if halves:
+                        todo.append((xxhash.xxh3_64_intdigest(f"{name} {k}"), half))
+                    elif len(half) > 1:
+                        leaf = xxhash.xxh3_64_intdigest(f"{name} {k} leaf") - (1 << 63)
+                        names.append(np.full(len(half), leaf, np.int64))
+                        members += [keys[rows[i]] for i in half]
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(members, pa.binary())], names=["node", "class"])
+
+
 def _leaves(scratch: Scratch, classes: DataFrame) -> DataFrame:
-    """(node, class) of every tree's leaves."""
+    """(node, class) of every tree's leaves.
+
+    Only nodes of more than ``WHOLE`` classes are split level by level, each level written once; what is
+    smaller goes to one task with its vectors, which splits it to the leaves.
+    """
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    nodes = classes.select("class", "vector", "label", tree.alias("tree")).select(F.xxhash64("tree", "label").alias("node"), "class", "vector", F.lit(1 << 62).alias("above"))
-    leaves = []
+    nodes = classes.select("class", "vector", "label", tree.alias("tree")).select(F.xxhash64("tree", "label").alias("node"), "class", "vector")
+    whole, leaves = [], []
     for level in range(LEVELS):
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("size"))
-        sized = scratch.save(nodes.join(sizes, "node"))
-        # a node that a split has hardly made smaller is a leaf, whatever its size
-        done = (F.col("size") <= SMALL) | (F.col("size") > SHRINKS * F.col("above"))
-        last = level == LEVELS - 1
-        leaves.append(scratch.save(sized.filter(F.lit(True) if last else done).select("node", "class")))
-        if last or sized.filter(~done).isEmpty():
+        at = scratch.save(nodes.mapInArrow(_projected, "node long, class binary, vector binary, at double"))
+        cuts = F.percentile_approx("at", QUANTILES, 1000).alias("cuts")
+        stats = scratch.save(at.groupBy("node").agg(F.count("*").alias("size"), cuts).filter("size > 1"))
+        large = stats.filter(F.col("size") > WHOLE)
+        near = [F.count_if(F.abs(F.col("at") - F.col("cuts")[k]) <= SPILL).alias(f"spill{k}") for k in range(len(QUANTILES))]
+        spilt = at.select("node", "at").join(large, "node").groupBy("node").agg(*near)
+        choices = F.array(*(F.struct(F.col(f"spill{k}").alias("spill"), F.col("cuts")[k].alias("cut")) for k in range(len(QUANTILES))))
+        stats = scratch.save(stats.join(spilt, "node", "left").withColumn("best", F.array_min(choices)).select("node", "size", "best.spill", "best.cut"))
+        # a node that every cut hardly divides is a leaf, whatever its size
+        stuck = (F.col("size") > WHOLE) & (F.lit(level == LEVELS - 1) | (F.col("spill") >= WASTE * F.col("size")))
+        more = (F.col("size") > WHOLE) & ~stuck
+        rows = at
+        whole.append(rows.join(stats.filter(F.col("size") <= WHOLE).select("node"), "node").select("node", "class", "vector"))
+        leaves.append(rows.join(stats.filter(stuck).select("node"), "node").select("node", "class"))
+        if stats.filter(more).isEmpty():
             break
-        at = scratch.save(sized.filter(~done).select("node", "class", "vector", "size").mapInArrow(_projected, "node long, class binary, vector binary, size long, at double"))
-        cuts = at.groupBy("node").agg(F.percentile_approx("at", 0.5, 1000).alias("cut"))
-        cut = at.join(cuts, "node")
+        cut = rows.join(stats.filter(more).select("node", "cut"), "node")
         sides = F.array_compact(F.array(F.when(F.col("at") <= F.col("cut") + SPILL, F.lit(0)), F.when(F.col("at") > F.col("cut") - SPILL, F.lit(1))))
-        nodes = cut.select("node", "class", "vector", "size", F.explode(sides).alias("side")).select(F.xxhash64("node", "side").alias("node"), "class", "vector", F.col("size").alias("above"))
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.unionByName(more)
-    return out
+        nodes = cut.select("node", "class", "vector", F.explode(sides).alias("side")).select(F.xxhash64("node", "side").alias("node"), "class", "vector")
+    small, out = whole[0], leaves[0]
+    for a, b in zip(whole[1:], leaves[1:], strict=True):
+        small, out = small.unionByName(a), out.unionByName(b)
+    return out.unionByName(small.repartition("node").sortWithinPartitions("node").mapInArrow(_subtrees, "node long, class binary"))
 
 
 def _blocks(rows: DataFrame, leaves: DataFrame) -> DataFrame:
