@@ -159,7 +159,9 @@ def vectors(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
 
 
-def test_embedding_near_duplicates(vectors):
+@pytest.mark.parametrize("whole", [embeddups.WHOLE, 8])
+def test_embedding_near_duplicates(vectors, monkeypatch, whole):
+    monkeypatch.setattr(embeddups, "WHOLE", whole)  # 8: nodes are split level by level too
     rows = [(r["vec_id"], np.array([np.nan if x is None else x for x in r["embedding"] or [np.nan]]), r["label"]) for r in vectors.collect()]
     ok = [np.isfinite(v).all() and v.any() and k is not None for _, v, k in rows]
     link = lambda a, b: a != b and ok[a] and ok[b] and rows[a][2] == rows[b][2] and rows[a][1] @ rows[b][1] >= 0.98 * np.sqrt((rows[a][1] @ rows[a][1]) * (rows[b][1] @ rows[b][1]))
