@@ -59,3 +59,28 @@ def bag_difference(df: DataFrame, ids: list[str], left: Column, right: Column) -
 def variants(df: DataFrame, group: list[str], value: Column) -> DataFrame:
     """AG17: groups with more than one distinct normalised value."""
     return df.groupBy(*group).agg(F.count_distinct(value).alias("variants")).filter("variants > 1")
+
+
+def shared_grams(docs: DataFrame, words: int, least: int) -> DataFrame:
+    """(a, b, shared, same): pairs of classes of documents that share ``least`` grams or more, and the classes' members.
+
+    Documents with equal sets of shared grams are one class, named by its least id, and grams with equal lists of classes are
+    counted together, so that neither copies nor long common passages multiply the pairs. No gram is left out as too common.
+    """
+    t = F.split(F.lower("text"), " ")
+    grams = F.transform(F.sequence(F.lit(1), F.size("t") - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice("t", i, words), " ")))
+    g = docs.filter("doc_id is not null").select("doc_id", t.alias("t")).filter(F.size("t") >= words).select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
+    # one shuffle of the grams; most are in one document only and end here
+    one, first = W.partitionBy("gram"), W.partitionBy("gram").orderBy("doc_id")
+    met = g.select("doc_id", "gram", F.lag("doc_id").over(first).alias("before"), F.min("doc_id").over(one).alias("lo"), F.max("doc_id").over(one).alias("hi"))
+    met = met.filter("lo <> hi and (before is null or before <> doc_id)").groupBy("gram").agg(F.sort_array(F.collect_list("doc_id")).alias("d"))
+    # 128 bits of a set of grams, besides its size, stand for the set
+    lists = met.groupBy("d").agg(F.count("*").alias("k"), *(F.bit_xor(F.xxhash64("gram", F.lit(n))).alias(f"h{n}") for n in (1, 2)))
+    rows = lists.select(F.struct("k", "h1", "h2").alias("list"), F.explode("d").alias("doc_id"))
+    of = rows.groupBy("doc_id").agg(F.sum("list.k").alias("k"), *(F.bit_xor(f"list.h{n}").alias(f"h{n}") for n in (1, 2))).filter(F.col("k") >= least)
+    classes = of.groupBy("k", "h1", "h2").agg(F.min("doc_id").alias("a"))
+    members = of.join(classes, ["k", "h1", "h2"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.col("k").alias("shared"), F.lit(True).alias("same"))
+    heads = rows.join(classes.select(F.col("a").alias("doc_id")), "doc_id").groupBy("list").agg(F.sort_array(F.collect_list("doc_id")).alias("d")).filter(F.size("d") > 1)
+    heads = heads.groupBy("d").agg(F.sum("list.k").alias("k")).select("k", "d", F.posexplode("d").alias("i", "a"))
+    pairs = heads.select("k", "a", F.explode(F.slice("d", F.col("i") + 2, F.size("d"))).alias("b")).groupBy("a", "b").agg(F.sum("k").alias("shared")).filter(F.col("shared") >= least)
+    return pairs.select("a", "b", "shared", F.lit(False).alias("same")).unionByName(members)

@@ -360,13 +360,27 @@ def dup_ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.split(F.lower("text"), " ")
     grams = F.transform(F.sequence(F.lit(1), F.size("t") - 7), lambda i: F.xxhash64(F.array_join(F.slice("t", i, 8), " ")))
     g = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).filter(F.size("t") >= 8).select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
-    # one row per gram that 2 to 20 documents share; that bounds the pairs of a gram, and a commoner gram tells nothing
+    # one row per gram that 2 to 20 documents share, as in the SQL; what commoner grams link is in dup_ngram_overlap_whole
     docs = g.groupBy("gram").agg(F.count("*").alias("n")).filter("n between 2 and 20")
     near = g.join(docs, "gram").groupBy("gram").agg(F.sort_array(F.collect_list("doc_id")).alias("d"))
     pairs = F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 2, F.size("d")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return near.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared")).filter("shared >= 20")
 
 
+@query("""with w as (select doc_id, string_split(lower(text), ' ') t from documents), g as (select distinct doc_id, unnest([array_to_string(t[i:i + 7], ' ') for i in range(1, len(t) - 6)]) as gram from w),
+s as (select * from g where gram in (select gram from g group by gram having count(*) > 1)), k as (select doc_id, count(*) k from s group by doc_id),
+p as (select x.doc_id a, y.doc_id b, count(*) shared from s x join s y using (gram) where x.doc_id < y.doc_id group by all having count(*) >= 20),
+e as (select a, b, shared, shared = ka.k and shared = kb.k same from p join k ka on a = ka.doc_id join k kb on b = kb.doc_id), later as (select distinct b from e where same)
+select * from e where a not in (from later) and (same or b not in (from later))""")
+def dup_ngram_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of documents that shares 20 grams of eight words or more, however common the grams are.
+
+    Documents with the same shared grams form a class under its least id. Rows with ``same`` tie a class to each further
+    member, the others pair the least ids of two classes; a pair of any members shares what its classes share.
+    """
+    return grouping.shared_grams(table(spark, sf_dir, "documents"), words=8, least=20)
+
+
 def sql_query(name: str, spark_sql: str, tables: str, duck_sql: str | None = None) -> None:
     """A query whose SQL both engines run, as they are or with a DuckDB spelling of its own. Tables are named {like} {this}."""
 
