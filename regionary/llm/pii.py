@@ -1,7 +1,8 @@
 """Personal data by patterns and a semi-Markov conditional random field.
 
 Patterns find well-formed e-mail addresses, IPv4 addresses, card and phone numbers. The field then
-reads every stretch of words around digits and at-signs: features of a whole candidate segment
+reads every stretch of words around digits, at-signs and spelt-out addresses ('at', '[at]' or '(at)' before a host
+with a dot or 'dot', '[dot]', '(dot)'), as a whole, however long it is: features of a whole candidate segment
 (digits, marks, check sum, quad, the word before) score each type, and dynamic programming over
 segments of at most ``LONGEST`` words chooses boundaries and types together. It is trained on the
 corpus by what the patterns found, also in disguised forms (no plus sign, other separators,
@@ -29,6 +30,8 @@ EPOCHS = 4
 SURE = 0.95
 CONTEXT = 2
 FEATURES = 1 << 12
+#: Runs of more words are read in parts, each with this many words of the neighbouring parts, to bound the memory.
+PART, SEAM = 4096, 8 * LONGEST
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -38,6 +41,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _STRETCH = re.compile(r"[0-9@]\S*")
 _WORD = re.compile(r"\S+")
+_DOT = re.compile(r"(?i)\sdot\s|[\[(]dot[\])]")
+_SPELT = re.compile(r"[aA][tT](?:(?<=\s[aA][tT])\s+|(?<=[\[(][aA][tT])[\])]\s*)[A-Za-z0-9-]+(?:(?:\.|\s*[\[(][dD][oO][tT][\])]\s*|\s+[dD][oO][tT]\s+)[A-Za-z0-9-]+)+")
 
 
 def luhn(digits: str) -> bool:
@@ -83,30 +88,49 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def spelt(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Spelt-out addresses in a part of the text, from the word before 'at' to the host's last, each with its form:
+    a mark in brackets, a bare 'at' with a spelt dot, or a bare 'at' only."""
+    out = []
+    for m in _SPELT.finditer(text, start, end):
+        bracket = text[m.start() - 1] in "[("
+        a, b = m.start() - bracket, m.end()
+        while a > start and text[a - 1].isspace():
+            a -= 1
+        while a > start and not text[a - 1].isspace():
+            a -= 1
+        while b < end and not text[b].isspace():
+            b += 1
+        out.append((a, b, "bracket" if bracket else "dot" if _DOT.search(m[0]) else "bare"))
+    return out
+
+
 def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring words with a digit or at-sign, each with ``CONTEXT`` words before and after."""
-    hot: list[list[int]] = []
+    """Whole runs of neighbouring words with a digit, an at-sign or part in a spelt-out address, each with ``CONTEXT`` words before and after."""
+    found = [(m.start(), m.end()) for a, b, _ in spelt(text, 0, len(text)) for m in _WORD.finditer(text, a, b)]
     past = 0
     for m in _STRETCH.finditer(text):
         a = m.start()
         while a > past and not text[a - 1].isspace():
             a -= 1
         past = m.end()
-        if hot and not text[hot[-1][-1] : a].strip():
-            hot[-1] += [a, m.end()]
+        found.append((a, past))
+    runs: list[list[tuple[int, int]]] = []
+    for word in sorted(set(found)):
+        if runs and not text[runs[-1][-1][1] : word[0]].strip():
+            runs[-1].append(word)
         else:
-            hot.append([a, m.end()])
+            runs.append([word])
     out = []
-    for run in hot:
-        words = [(run[k], run[k + 1]) for k in range(0, len(run), 2)]
-        left = [(m.start(), m.end()) for m in _WORD.finditer(text, max(0, run[0] - 60), run[0])][-CONTEXT:]
-        right = [(m.start(), m.end()) for m in _WORD.finditer(text, run[-1], min(len(text), run[-1] + 60))][:CONTEXT]
-        words = [*left, *words, *right]
-        out += [words[k : k + 24] for k in range(0, len(words), 24)]
+    for run in runs:
+        first, last = run[0][0], run[-1][1]
+        left = [(m.start(), m.end()) for m in _WORD.finditer(text, max(0, first - 60), first)][-CONTEXT:]
+        right = [(m.start(), m.end()) for m in _WORD.finditer(text, last, min(len(text), last + 60))][:CONTEXT]
+        out.append([*left, *run, *right])
     return out
 
 
-def features(kind: str, seg: str, before: str) -> list[int]:
+def features(kind: str, seg: str, before: str, form: str = "") -> list[int]:
     """Hashed features of a whole segment together with its type."""
     core = seg.strip(".,;:!?|'\"")
     d = _digits(core)
@@ -127,6 +151,7 @@ def features(kind: str, seg: str, before: str) -> list[int]:
         f"groups{[len(g) for g in re.findall('[0-9]+', core)][:5]}",
         f"only{letters == 0}n{len(d) >= 7}p{'(' in core}",
         f"edge{core == seg}",
+        f"spelt{form}",
         f"before{before.lower().strip('.,:;')[:8] if before.strip('.,:;').lower() in CUES else ''}",
         "bias",
     ]
@@ -144,10 +169,18 @@ def hash_of(s: str) -> int:
     return h % FEATURES
 
 
-def lattice(text: str, words: list[tuple[int, int]]) -> dict[tuple[int, int], list[tuple[str, list[int]]]]:
-    """Per (first word, word after the last) the types it may have with their features; single words may be nothing."""
-    out: dict[tuple[int, int], list[tuple[str, list[int]]]] = {}
-    hot = [bool(_HINT.search(text, a, b)) for a, b in words]
+def hot_words(text: str, words: list[tuple[int, int]]) -> list[bool]:
+    """Which words have a digit or at-sign or belong to a spelt-out address."""
+    spans = spelt(text, words[0][0], words[-1][1])
+    inside = {m.start() for a, b, _ in spans for m in _WORD.finditer(text, a, b)}
+    return [a in inside or bool(_HINT.search(text, a, b)) for a, b in words]
+
+
+def lattice(text: str, words: list[tuple[int, int]], w: np.ndarray | None = None) -> dict[tuple[int, int], list]:
+    """Per (first word, word after the last) the types it may have with their features, or their scores under ``w``; single words may be nothing."""
+    out: dict[tuple[int, int], list] = {}
+    hot = hot_words(text, words)
+    forms = {(a, b): form for a, b, form in spelt(text, words[0][0], words[-1][1])}
     for i in range(len(words)):
         out[i, i + 1] = [("none", [])]
         before = text[words[i - 1][0] : words[i - 1][1]] if i else ""
@@ -155,13 +188,18 @@ def lattice(text: str, words: list[tuple[int, int]]) -> dict[tuple[int, int], li
             seg = text[words[i][0] : words[j - 1][1]]
             if len(seg) > 64 or not any(hot[i:j]) or not (hot[i] or seg[0] == "(") and "at" not in seg or "\n" in seg:
                 continue
-            out.setdefault((i, j), []).extend((k, features(k, seg, before)) for k in KINDS)
+            found = [(k, features(k, seg, before, forms.get((words[i][0], words[j - 1][1]), ""))) for k in KINDS]
+            out.setdefault((i, j), []).extend(found if w is None else ((k, float(w[f].sum())) for k, f in found))
     return out
 
 
+def _score(f: list[int] | float, w: np.ndarray) -> float:
+    return f if isinstance(f, float) else float(w[f].sum()) if f else 0.0
+
+
 def forward_backward(n: int, lat: dict, w: np.ndarray) -> tuple[dict[tuple[int, int, str], float], float]:
     """Posterior of each typed segment under the field."""
-    score = {(i, j, k): float(w[f].sum()) if f else 0.0 for (i, j), kinds in lat.items() for k, f in kinds}
+    score = {(i, j, k): _score(f, w) for (i, j), kinds in lat.items() for k, f in kinds}
     fore, back = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
     fore[0] = back[n] = 0.0
     by_end = sorted(score, key=lambda s: s[1])
@@ -177,7 +215,7 @@ def best(n: int, lat: dict, w: np.ndarray) -> list[tuple[int, int, str]]:
     """The best segmentation, by dynamic programming over segments of bounded length."""
     top: list[tuple[float, tuple[int, int, str] | None]] = [(0.0, None)] + [(-np.inf, None)] * n
     for i, j, k, f in sorted(((i, j, k, f) for (i, j), kinds in lat.items() for k, f in kinds), key=lambda s: s[1]):
-        v = top[i][0] + (float(w[f].sum()) if f else 0.0)
+        v = top[i][0] + _score(f, w)
         if v > top[j][0]:
             top[j] = (v, (i, j, k))
     out = []
@@ -224,11 +262,12 @@ def disguise(text: str, n: int) -> tuple[str, list[tuple[str, int, int]]] | None
 
 
 def fit(samples: list[str]) -> np.ndarray:
-    """Stochastic gradient on the field's likelihood; each stretch also stands once in disguise."""
+    """Stochastic gradient on the field's likelihood; a stretch also stands in disguise, one with an address in both spelt-out forms."""
     rng = np.random.default_rng(5)
     cases = []
     for n, text in enumerate(samples):
-        for form in (None, disguise(text, n) if n % 2 else None):
+        spelt_out = [disguise(text, 0), disguise(text, 1)] if min(base_spans(text), key=lambda s: s[1], default=("",))[0] == "email" else []
+        for form in (None, *(spelt_out or [disguise(text, n // 2) if n % 2 else None])):
             t, spans = (text, None) if form is None else form
             for words in stretches(t)[:2]:
                 want = gold(t, words)
@@ -264,23 +303,28 @@ def fit(samples: list[str]) -> np.ndarray:
 def added_spans(text: str, base: list[tuple[str, int, int]], w: np.ndarray) -> list[tuple[str, int, int]]:
     """Typed segments of the best path that the field is sure of and that no pattern's span touches."""
     out = []
-    for words in stretches(text):
-        free = [not any(a < e and s < b for _, a, b in base) for s, e in words]
-        if not any(ok and _HINT.search(text, s, e) for ok, (s, e) in zip(free, words, strict=True)):
-            continue
-        lat = lattice(text, words)
-        if len(lat) == len(words):
-            continue
-        path = [s for s in best(len(words), lat, w) if s[2] != "none" and all(free[s[0] : s[1]])]
-        if path:
-            post, _total = forward_backward(len(words), lat, w)
-            for i, j, k in path:
-                if post[i, j, k] >= SURE:
-                    seg = text[words[i][0] : words[j - 1][1]]
-                    cut = len(seg) - len(seg.lstrip(".,;:!?|'\""))
-                    core = seg.strip(".,;:!?|'\"")
-                    if core and len(_digits(core)) + ("@" in core) + (" at " in core) >= 1 and (k == "email" or len(_digits(core)) >= 7 or k == "ip"):
-                        out.append((k, words[i][0] + cut, words[i][0] + cut + len(core)))
+    for run in stretches(text):
+        done = 0
+        for start in range(0, len(run), PART):
+            first = max(0, start - SEAM)
+            words = run[first : start + PART + SEAM]
+            free = [not any(a < e and s < b for _, a, b in base) for s, e in words]
+            if not any(ok and hot for ok, hot in zip(free, hot_words(text, words), strict=True)):
+                continue
+            lat = lattice(text, words, w)
+            if len(lat) == len(words):
+                continue
+            path = [s for s in best(len(words), lat, w) if s[2] != "none" and all(free[s[0] : s[1]]) and start <= first + s[0] < start + PART and first + s[0] >= done]
+            if path:
+                post, _total = forward_backward(len(words), lat, w)
+                for i, j, k in path:
+                    if post[i, j, k] >= SURE:
+                        seg = text[words[i][0] : words[j - 1][1]]
+                        cut = len(seg) - len(seg.lstrip(".,;:!?|'\""))
+                        core = seg.strip(".,;:!?|'\"")
+                        if core and len(_digits(core)) + ("@" in core) + bool(_SPELT.search(core)) >= 1 and (k == "email" or len(_digits(core)) >= 7 or k == "ip"):
+                            out.append((k, words[i][0] + cut, words[i][0] + cut + len(core)))
+                            done = first + j
     return out
 
 
@@ -290,7 +334,8 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batch.column("text"):
             text = t.as_py() or ""
             if _HINT.search(text):
-                for words in stretches(text)[:4]:
+                parts = [run[k : k + 24] for run in stretches(text) for k in range(0, len(run), 24)]
+                for words in parts[:4]:
                     if len(words) > 1:
                         out.append(text[words[0][0] : words[-1][1]])
         yield pa.RecordBatch.from_arrays([pa.array([x for x in out if len(x) <= 400], pa.string())], names=["text"])
@@ -307,7 +352,7 @@ def spans_of(text: str | None, w: np.ndarray) -> tuple[list[tuple[str, int, int]
     """Base spans, and all spans, each by kind as listed and then start."""
     text = text or ""
     base = base_spans(text)
-    if not base and not _HINT.search(text):
+    if not base and not _HINT.search(text) and not _SPELT.search(text):
         return base, base
     more = added_spans(text, base, w)
     return base, sorted([*base, *more], key=lambda s: (KINDS.index(s[0]), s[1])) if more else base

@@ -4,7 +4,9 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 
+from regionary.llm import pii
 from regionary.operators import grouping
 
 
@@ -27,3 +29,29 @@ def test_shared_grams_of_large_groups(spark):
         if not r["same"]:
             got.update({(min(x, y), max(x, y)): r["shared"] for x in members.get(r["a"], [r["a"]]) for y in members.get(r["b"], [r["b"]])})
     assert got == want and len(want) > 700
+
+
+@pytest.fixture(scope="module")
+def field():
+    texts = [f"please mail ann{n}.lee@corp{n % 7}.example.com or call" for n in range(300)] + [f"call +1 (234) 555-0{100 + n} for item {n} today" for n in range(300)]
+    texts += [f"pay with card 4111 1111 1111 1111 soon, order {n} has" for n in range(200)] + [f"in room {n} and look" for n in range(300)]
+    return pii.fit(texts)
+
+
+def test_personal_data_at_any_place_of_a_long_run(field, monkeypatch):
+    monkeypatch.setattr(pii, "PART", 256)
+    for n in (2, 18, 19, 20, 21, 22, 23, 24, 45, 253, 255, 256, 900):
+        text = "row " + "12 " * n + "mail bob7 [at] mail.example.com now"
+        at = text.index("bob7")
+        assert ("email", at, at + len("bob7 [at] mail.example.com")) in pii.spans_of(text, field)[1], n
+    assert [len(r) for r in pii.stretches("7 " * 100)] == [100]
+    run = "12 " * 60
+    words = pii.stretches(run)[0]
+    assert all((i, i + 4) in pii.lattice(run, words) for i in range(57))
+
+
+def test_spelt_out_addresses(field):
+    for mail in ("john at example dot com", "john [at] example.com", "ann.lee (at) corp.example.com"):
+        text = f"please mail {mail} or call for more"
+        assert pii.spans_of(text, field)[1] == [("email", 12, 12 + len(mail))], mail
+    assert pii.spans_of("we met at the gate and look at example.com then", field)[1] == []
