@@ -143,7 +143,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(s))
             key.append(xxhash.xxh3_128_digest(s.tobytes()))
             sk.append(sketch(s).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sk, pa.binary())], names=["doc_id", "n", "class", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sk, pa.binary()), batch.column("key")], names=["doc_id", "n", "class", "sketch", "key"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,12 +270,17 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 NODE = "node long, class binary, sketch binary"
 
 
+def _text_key() -> Column:
+    """Tells texts of one id apart; null for a null text."""
+    return F.md5(F.col("text").cast("binary"))
+
+
 class Join:
     """The trees, their pairs and the components, over the classes of one table."""
 
     def __init__(self, scratch: Scratch, docs: DataFrame):
         self.scratch, self.docs = scratch, docs
-        self.rows = scratch.save(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n long, class binary, sketch binary"))
+        self.rows = scratch.save(docs.select("doc_id", "text", _text_key().alias("key")).mapInArrow(_describe, "doc_id long, n long, class binary, sketch binary, key string"))
         full = self.rows.filter("n > 0")
         self.classes = scratch.save(full.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
@@ -361,28 +366,32 @@ class Join:
         return self.scratch.save(components(self.scratch, edges.unionByName(more)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id, kept, and ``class``, the key of its shingle set."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """One row per document row: doc_id, key of its text, n, class, component_id, and root, which names the component where an id can't."""
     with Scratch(docs.sparkSession, "neardup") as scratch:
         join = Join(scratch, docs)
         labels = join.run()
         named = join.classes.select("class", "least").join(labels.withColumnRenamed("v", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = scratch.save(named.select("class", "root").join(names, "root").select("class", "component_id"), keep=True)
-        rows = scratch.save(join.rows.select("doc_id", "n", "class"), keep=True)
-    alone = rows.filter("n = 0").select("doc_id", "n", "class", F.col("doc_id").alias("component_id"))
-    out = rows.filter("n > 0").join(named, "class").select("doc_id", "n", "class", "component_id").unionByName(alone)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class")
+        named = scratch.save(named.select("class", "root").join(names, "root").select("class", "root", "component_id"), keep=True)
+        rows = scratch.save(join.rows.select("doc_id", "key", "n", "class"), keep=True)
+    alone = rows.filter("n = 0").select("doc_id", "key", "n", "class", F.col("class").alias("root"), F.col("doc_id").alias("component_id"))
+    return rows.filter("n > 0").join(named, "class").select("doc_id", "key", "n", "class", "root", "component_id").unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document row: doc_id, n_shingles, component_id, kept, and ``class``, the key of its shingle set."""
+    return _placed(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stand for their component, with their own columns.
 
-    Of several rows with that id, and of repeated rows, one stays; documents without words all stay.
+    Each component keeps one row, of several with its least id one of the least text key; a null id stands where there
+    is no other. Documents without words all stay.
     """
-    found = near_duplicates(docs).filter("kept")
-    ids = found.filter("n_shingles > 0").groupBy("doc_id").agg(F.lit(True).alias("stands__"))
-    empty = found.filter("n_shingles = 0").select("doc_id").distinct()
+    found = _placed(docs).filter("n > 0").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stands = found.groupBy("root").agg(F.min("key").alias("key__"), F.first("doc_id").alias("id__")).select("id__", "key__")
     void = F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
-    full = docs.filter(~void).join(ids, "doc_id").drop("stands__")
-    return full.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter(void).join(empty, "doc_id", "left_semi"))
+    full = docs.filter(~void).withColumn("text__", _text_key()).join(stands, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("text__") == F.col("key__")))
+    return full.dropDuplicates(["id__", "key__"]).select(*docs.columns).unionByName(docs.filter(void))

@@ -6,7 +6,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from regionary.llm import pii
+import corpus_pipeline
+from regionary.llm import neardup, pii
 from regionary.operators import grouping
 
 
@@ -55,3 +56,18 @@ def test_spelt_out_addresses(field):
         text = f"please mail {mail} or call for more"
         assert pii.spans_of(text, field)[1] == [("email", 12, 12 + len(mail))], mail
     assert pii.spans_of("we met at the gate and look at example.com then", field)[1] == []
+
+
+def test_one_of_each_keeps_every_component(spark):
+    rng = np.random.default_rng(8)
+    words = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 40))
+    t = [words() for _ in range(6)]
+    near = t[0] + " end"
+    rows = [(1, t[0]), (2, near), (None, t[0]), (None, t[1]), (None, t[1] + " end"), (None, t[2]), (7, t[3]), (7, t[4]), (7, t[3]), (3, t[5]), (7, t[5]), (None, ""), (None, None), (7, " "), (7, "")]
+    docs = spark.createDataFrame([(i, x, "s") for i, x in rows], "doc_id long, text string, source string").repartition(3)
+    for got in (neardup.one_of_each(docs), corpus_pipeline.drop_near_duplicates(spark, docs, "")):
+        assert got.columns == docs.columns
+        kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+        one = [k for k in kept if k in {(None, t[1]), (None, t[1] + " end")}]
+        want = Counter([(1, t[0]), *one, (None, t[2]), (7, t[3]), (7, t[4]), (3, t[5]), (None, ""), (None, None), (7, " "), (7, "")])
+        assert len(one) == 1 and kept == want
