@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TOLERANCE = 0.1
@@ -71,3 +72,17 @@ def baselines(anchors: Column, leading: Column) -> Column:
     """WN11: y_i = max(anchor_i, y_(i-1) + leading), as a fold over an array."""
     empty = F.array().cast("array<double>")
     return F.aggregate(anchors, empty, lambda ys, a: F.concat(ys, F.array(F.when(F.size(ys) == 0, a).otherwise(F.greatest(a, F.element_at(ys, -1) + leading)))))
+
+
+def last_baselines(rows: DataFrame, key: str, order: str, anchor: str, leading: float, block: int = 4096) -> DataFrame:
+    """WN11 over all rows of a key: (key, last), the last of y_i = max(anchor_i, y_(i-1) + leading).
+
+    That is the maximum of anchor_i + leading * (rows after i). Rows are counted within blocks of the whole numbers ``order`` and then over
+    the blocks, so no task holds a key with many rows.
+    """
+    cut = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(anchor).alias("a"), F.floor(F.col(order) / block).alias("b"))
+    after = F.row_number().over(W.partitionBy("k", "b").orderBy(F.desc_nulls_last("o"), F.desc_nulls_last("a"))) - 1
+    blocks = cut.withColumn("y", F.col("a") + after * leading).groupBy("k", "b").agg(F.count("*").alias("n"), F.max("y").alias("y"))
+    later = W.partitionBy("k").orderBy(F.desc_nulls_last("b")).rowsBetween(W.unboundedPreceding, -1)
+    last = blocks.withColumn("y", F.col("y") + F.coalesce(F.sum("n").over(later), F.lit(0)) * leading)
+    return last.groupBy(F.col("k").alias(key)).agg(F.max("y").alias("last"))

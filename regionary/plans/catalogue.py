@@ -302,6 +302,12 @@ def wn11_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", F.array_max(fit.baselines(F.col("a"), F.lit(1.5))).alias("last"))
 
 
+@query("select user_id, max(value + 1.5 * n) last from (select user_id, value, count(*) over (partition by user_id order by event_id desc rows between unbounded preceding and 1 preceding) n from events) t group by user_id")
+def wn11_baselines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last baseline over all events of a user; wn11_baselines ends at the fiftieth, as its SQL does."""
+    return fit.last_baselines(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 1.5)
+
+
 _RULES = f"""i as (select conv_id, turn, unnest(list_filter([case when ({AUTHENTIC}) = 'identical' then 'IDENTICAL/P0' end, case when ({AUTHENTIC}) = 'truncated' then 'TRUNCATED/P1' end, case when ({ARTIFACT}) is not null then 'ARTIFACT/P0' end,
 case when {_any('source', T.NEGATIONS)} and not {_any('target', T.TARGET_NEGATIONS)} then 'NEGATION_DROP/P1' end, case when {' + '.join(f'abs({_count("source", s)} - {_count("target", s)})' for s in T.SYMBOLS)} > 0 then 'SYMBOL_DRIFT/P1' end,
 case when len(list_filter(regexp_extract_all(target, '[A-Za-z]{{3,}}'), lambda x: list_contains(list_filter(regexp_extract_all(source, '[A-Za-z]{{3,}}'), lambda y: y = lower(y)), lower(x)))) >= 3 then 'CARRY_THROUGH/P2' end], lambda x: x is not null)) c from c)"""

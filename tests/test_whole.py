@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from regionary.llm import neardup, pii
-from regionary.operators import grouping
+from regionary.operators import fit, grouping
 
 
 def test_shared_grams_of_large_groups(spark):
@@ -71,3 +71,15 @@ def test_one_of_each_keeps_every_component(spark):
         one = [k for k in kept if k in {(None, t[1]), (None, t[1] + " end")}]
         want = Counter([(1, t[0]), *one, (None, t[2]), (7, t[3]), (7, t[4]), (3, t[5]), (None, ""), (None, None), (7, " "), (7, "")])
         assert len(one) == 1 and kept == want
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_last_baselines_of_all_rows(spark, block):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(3)) if i % 2 else 9, None if i % 50 == 3 else float(rng.integers(0, 2000))) for i in range(800)]
+    want = {}
+    for _, u, v in rows:
+        y = want.get(u)
+        want[u] = v if y is None else y + 1.5 if v is None else max(v, y + 1.5)
+    got = {r["user_id"]: r["last"] for r in fit.last_baselines(spark.createDataFrame(rows, "event_id long, user_id long, value double").repartition(5), "user_id", "event_id", "value", 1.5, block).collect()}
+    assert got == want
