@@ -177,3 +177,15 @@ def _shown(kind: str):
 def restore(masked: Column, tokens: Column) -> Column:
     """SC7: every known token back in its place, literally; unknown ones stay."""
     return F.aggregate(F.map_entries(tokens), masked, lambda t, e: F.replace(t, F.concat(F.lit("⟦"), e["key"], F.lit("⟧")), e["value"]))
+
+
+def coverage(target: Column, window: Column, page: Column, kept: Column) -> Column:
+    """GT3: where a target text is found: 'window', then 'page' (or so without any blanks), then for kept texts
+    'reordered', if the page has each of its characters as often, else 'missing'."""
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    times = lambda s, c: F.length(s) - F.length(F.replace(s, c))
+    bag = lambda x: F.forall(F.array_distinct(F.split(x["t"], "")), lambda c: times(x["t"], c) <= times(x["p"], c))
+    # an array of one, so that blanks are taken out once and not for every character
+    both = F.array(F.struct(bare(target).alias("t"), bare(page).alias("p")))
+    rest = F.transform(both, lambda x: F.when(F.contains(x["p"], x["t"]), "page").when(kept & bag(x), "reordered").otherwise("missing"))
+    return F.when(F.contains(window, target), "window").when(F.contains(page, target), "page").otherwise(F.element_at(rest, 1))

@@ -426,3 +426,21 @@ sql_query("wn13_leading", "select user_id, coalesce(greatest(1.02, percentile(d,
 sql_query("gt1_coverage", "select source, count(*) - count(l.doc_id) pending, count(*) docs from {documents} d left join {labels} l on d.doc_id = l.doc_id group by source", "documents labels")
 sql_query("gt3_text_coverage", "select l.doc_id, case when instr(d.text, substring(d.text, 1, 20)) = 1 then 'window' when instr(d.text, ' ') > 0 then 'page' else 'missing' end found from {labels} l join {documents} d on l.doc_id = d.doc_id", "labels documents")
 sql_query("gr5_adjacency", "select o_custkey, count(*) degree from (select o_custkey, o_orderkey from {orders} union all select o_orderkey, o_custkey from {orders}) e group by o_custkey", "orders")
+
+
+@query(f"""with f as (select conv_id, turn, role, {FOLDED.replace('line', 'text')} t from conversations), p as (select conv_id, turn, role, t, coalesce(lead(t) over (partition by conv_id order by turn), '') w from f),
+o as (select p.conv_id, p.turn, p.role, p.t, p.w, coalesce(string_agg(f.t, ' ' order by f.turn), '') page from p left join f on f.conv_id = p.conv_id and f.turn <> p.turn group by all),
+b as (select *, replace(t, ' ', '') bt, replace(page, ' ', '') bp from o)
+select conv_id, turn, case when contains(w, t) then 'window' when contains(page, t) or contains(bp, bt) then 'page'
+when role = 'user' and len(list_filter(list_distinct(string_split(bt, '')), lambda c: c <> '' and length(bt) - length(replace(bt, c, '')) > length(bp) - length(replace(bp, c, '')))) = 0 then 'reordered' else 'missing' end found from b""")
+def gt3_turn_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as a target: the next turn is its window, the other turns of the conversation are its page, turns of users are kept."""
+    from pyspark.sql import Window as W
+
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.fold_blanks(F.col("text")).alias("t"))
+    c = c.withColumn("w", F.coalesce(F.lead("t").over(W.partitionBy("conv_id").orderBy("turn")), F.lit("")))
+    rest = W.partitionBy("conv_id").orderBy("turn")
+    before = F.collect_list("t").over(rest.rowsBetween(W.unboundedPreceding, -1))
+    after = F.collect_list("t").over(rest.rowsBetween(1, W.unboundedFollowing))
+    c = c.withColumn("page", F.array_join(F.concat(before, after), " "))
+    return c.select("conv_id", "turn", T.coverage(F.col("t"), F.col("w"), F.col("page"), F.col("role") == "user").alias("found"))

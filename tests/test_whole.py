@@ -5,9 +5,11 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from regionary.llm import neardup, pii
+from regionary.functions import text as T
 from regionary.operators import fit, grouping
 
 
@@ -83,3 +85,12 @@ def test_last_baselines_of_all_rows(spark, block):
         want[u] = v if y is None else y + 1.5 if v is None else max(v, y + 1.5)
     got = {r["user_id"]: r["last"] for r in fit.last_baselines(spark.createDataFrame(rows, "event_id long, user_id long, value double").repartition(5), "user_id", "event_id", "value", 1.5, block).collect()}
     assert got == want
+
+
+def test_coverage_finds_lost_text(spark):
+    long = "the same first twenty characters, "
+    rows = [(long + "end", "x " + long + "end", "", True, "window"), (long + "lost", long + "end", long + "end", False, "missing"), ("a b", "", "z a b", False, "page"),
+            ("a bc", "", "zab c", False, "page"), ("abca", "", "c a b a", True, "reordered"), ("abca", "", "c a b a", False, "missing"), ("abca", "", "c a b", True, "missing")]
+    df = spark.createDataFrame(rows, "t string, w string, page string, kept boolean, want string")
+    got = df.select("want", T.coverage(F.col("t"), F.col("w"), F.col("page"), F.col("kept")).alias("found")).collect()
+    assert [r["found"] for r in got] == [r["want"] for r in got]
