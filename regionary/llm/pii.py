@@ -8,8 +8,8 @@ segments of at most ``LONGEST`` words chooses boundaries and types together. It
 corpus by what the patterns found, also in disguised forms (no plus sign, other separators,
 spelt-out marks). Segments it is sure of and that touch no pattern's span are added.
 
-The training sample holds at most ``SAMPLE`` stretches, those of least hash (up to 400 characters, from a sixteenth of the ids); every whole text is
-scanned. Defined results: null texts are empty and have no spans; repeated rows are scanned each for
+The training sample holds at most ``SAMPLE`` stretches, those of least hash of all documents (runs are cut into 24 words for it; up to 400
+characters); every whole text is scanned. Defined results: null texts are empty and have no spans; repeated rows are scanned each for
 itself; other columns are carried through; an empty table gives an empty result.
 """
 
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -328,23 +329,32 @@ def added_spans(text: str, base: list[tuple[str, int, int]], w: np.ndarray) -> l
     return out
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for t in batch.column("text"):
-            text = t.as_py() or ""
-            if _HINT.search(text):
-                parts = [run[k : k + 24] for run in stretches(text) for k in range(0, len(run), 24)]
-                for words in parts[:4]:
-                    if len(words) > 1:
-                        out.append(text[words[0][0] : words[-1][1]])
-        yield pa.RecordBatch.from_arrays([pa.array([x for x in out if len(x) <= 400], pa.string())], names=["text"])
+def _sample(most: int):
+    """The ``most`` distinct stretches of least hash within a task; those of all tasks hold those of the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: set[tuple[int, str]] = set()
+        for batch in batches:
+            for t in batch.column("text"):
+                text = t.as_py() or ""
+                if _HINT.search(text) or _SPELT.search(text):
+                    for run in stretches(text):
+                        for k in range(0, len(run), 24):
+                            words = run[k : k + 24]
+                            part = text[words[0][0] : words[-1][1]]
+                            if len(words) > 1 and len(part) <= 400:
+                                least.add((xxhash.xxh64_intdigest(part.encode(), 3) - (1 << 63), part))
+            if len(least) > 4 * most:
+                least = set(sorted(least)[:most])
+        kept = sorted(least)[:most]
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.string())], names=["hash", "text"])
+
+    return run
 
 
 def train(docs: DataFrame, most: int = SAMPLE) -> np.ndarray:
-    """Weights learnt from at most ``most`` distinct stretches of the documents of least hash."""
-    some = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(16)) == 0).select("text")
-    rows = some.mapInArrow(_sample, "text string").distinct().orderBy(F.xxhash64("text", F.lit(3)), "text").limit(most).collect()
+    """Weights learnt from the ``most`` distinct stretches of least hash of all documents."""
+    rows = docs.select("text").mapInArrow(_sample(most), "hash long, text string").distinct().orderBy("hash", "text").limit(most).collect()
     return fit([r["text"] for r in rows])
 
 

@@ -94,3 +94,14 @@ def test_coverage_finds_lost_text(spark):
     df = spark.createDataFrame(rows, "t string, w string, page string, kept boolean, want string")
     got = df.select("want", T.coverage(F.col("t"), F.col("w"), F.col("page"), F.col("kept")).alias("found")).collect()
     assert [r["found"] for r in got] == [r["want"] for r in got]
+
+
+def test_sample_of_personal_data_has_late_stretches_of_any_id(spark, monkeypatch):
+    texts = [" ".join(f"a b c d item {n}x{k} e f g h" for k in range(8)) + " call +1 (234) 555-0199 now" for n in range(3)]
+    want = {text[r[0][0] : r[-1][1]] for text in texts for r in pii.stretches(text)}
+    monkeypatch.setattr(pii, "fit", sorted)
+    for i in range(4):
+        docs = spark.createDataFrame([(i, t) for t in texts], "doc_id long, text string").repartition(2)
+        assert pii.train(docs) == sorted(want) and any("+1" in x for x in want)
+    few = pii.train(docs, 5)
+    assert len(few) == 5 and few == pii.train(docs.repartition(1), 5)
