@@ -47,7 +47,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learnt models and tokenisation can't be told in SQL; tests hold the stages against brute force.
+#: Learnt models and tokenisation can't be told in SQL; tests hold operators against brute force, the pipeline as a whole has none.
 ORACLE_SQL = None
 
 
