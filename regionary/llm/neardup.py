@@ -11,7 +11,7 @@ Only connection is asked for, so a node's comparison runs in two passes. First e
 with one leader that it resembles; these pairs are confirmed on the full sets and joined into
 components. Then the nodes are read again, and pairs that may be similar but are still in different
 components are confirmed too. A large node whose members are all in one component is finished; any
-other keeps branching until it is small. No pair is dropped for the size of its group.
+other keeps branching until it is small; if one is left after ``DEEPEST`` levels, the join fails. No pair is dropped for the size of its group.
 
 Defined results: null and empty texts have no shingles and stand alone; texts under five words
 are one shingle; repeated rows fall into one class; a null id sorts after all others within its component and
@@ -357,6 +357,9 @@ class Join:
                 break
             few, many = self.split(many.mapInArrow(_branch, NODE), WIDE)
             todo.append(self.scratch.save(self.by_node(self.mixed(few, labels).select("node", "class", "sketch", "root")).mapInArrow(_rest, PAIR)))
+        else:
+            if not self.mixed(many, labels).isEmpty():
+                raise RuntimeError("near duplicates: large mixed nodes are left after the deepest level")
         pairs = todo[0]
         for more in todo[1:]:
             pairs = pairs.unionByName(more)

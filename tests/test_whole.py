@@ -105,3 +105,14 @@ def test_sample_of_personal_data_has_late_stretches_of_any_id(spark, monkeypatch
         assert pii.train(docs) == sorted(want) and any("+1" in x for x in want)
     few = pii.train(docs, 5)
     assert len(few) == 5 and few == pii.train(docs.repartition(1), 5)
+
+
+def test_near_duplicates_fail_rather_than_leave_a_node(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LEVELS", 1)
+    monkeypatch.setattr(neardup, "DEEPEST", 0)
+    rng = np.random.default_rng(10)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage = words(60)
+    docs = spark.createDataFrame([(i, f"{passage} {words(25)}") for i in range(70)], "doc_id long, text string")
+    with pytest.raises(RuntimeError, match="deepest level"):
+        neardup.near_duplicates(docs)
