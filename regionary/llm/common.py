@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +15,8 @@ _KEPT: list[tuple[SparkSession, str]] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent, a local master gets a temporary folder (driver and
-    executors are then one process); any other master is refused.
+    Where the setting is absent, a local master (driver and executors are one process) gets a folder under its
+    warehouse; any other master is refused.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
@@ -25,13 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    global _LOCAL
-    if _LOCAL is None:
-        _LOCAL = tempfile.mkdtemp(prefix="regionary-")
-    return f"file://{_LOCAL}"
-
-
-_LOCAL: str | None = None
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -52,16 +45,16 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
-        self.mine: dict[int, str] = {}
+        self.mine: set[str] = set()
         self.kept = False
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
-        for path in self.mine.values():
+        for path in self.mine:
             delete_path(self.spark, path)
-        self.mine = {}
+        self.mine = set()
 
     def save(self, df: DataFrame, keep: bool = False) -> DataFrame:
         self.count += 1
@@ -69,7 +62,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         if not keep:
-            self.mine[id(out)] = path
+            self.mine.add(path)
             out._scratch_path = path  # type: ignore[attr-defined]
         elif not self.kept:
             self.kept = True
@@ -77,8 +70,9 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.mine.pop(id(df), None)
-        if path:
+        path = getattr(df, "_scratch_path", None)
+        if path in self.mine:
+            self.mine.remove(path)
             delete_path(self.spark, path)
 
 

@@ -231,7 +231,7 @@ def _leaves(scratch: Scratch, classes: DataFrame) -> DataFrame:
     small, out = whole[0], leaves[0]
     for a, b in zip(whole[1:], leaves[1:], strict=True):
         small, out = small.unionByName(a), out.unionByName(b)
-    return out.unionByName(small.repartition("node").sortWithinPartitions("node").mapInArrow(_subtrees, "node long, class binary"))
+    return out.unionByName(small.repartition(F.xxhash64("node")).sortWithinPartitions("node").mapInArrow(_subtrees, "node long, class binary"))
 
 
 def _blocks(rows: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         full = scratch.save(classes.select("class", "vector", "copies").join(homes, "class"))
         placed = leaves.distinct().join(full, "class")
         blocks = _blocks(placed, leaves.distinct())
-        found = scratch.save(blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_leaf, "a binary, b binary, links long"))
+        found = scratch.save(blocks.repartition(F.xxhash64("block")).sortWithinPartitions("block").mapInArrow(_leaf, "a binary, b binary, links long"))
         links = found.filter("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
         labels = components(scratch, found.filter("b is not null").select("a", "b"))
         named = scratch.save(classes.join(labels.withColumnRenamed("v", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")).join(links, "class", "left").select("class", "root", "least", "copies", F.coalesce("links", F.lit(0)).alias("links")))

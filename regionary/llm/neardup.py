@@ -7,15 +7,19 @@ classes branch by selected minwise tokens: a node picks 4/3 of the tokens on ave
 the threshold), and a class goes to the child named by its token there. A node of at most ``SMALL``
 classes is compared exhaustively; a larger one branches on. Independent trees bring the recall up.
 
-Only connection is asked for, so a node's comparison runs in two passes. First every class is paired
-with one leader that it resembles; these pairs are confirmed on the full sets and joined into
-components. Then the nodes are read again, and pairs that may be similar but are still in different
-components are confirmed too. A large node whose members are all in one component is finished; any
-other keeps branching until it is small; if one is left after ``DEEPEST`` levels, the join fails. No pair is dropped for the size of its group.
+Only connection is asked for, and no list of pairs is ever made. First every class names one leader, the
+least that it resembles in any node. A leader's followers are compared on their full sets, all with all, within blocks
+of bounded size, and only a spanning forest of their links leaves the block. Then the nodes are read again: a node puts out a
+spanning forest of the pairs that may be similar but are still in different components. What these forests
+connect is a family; its members are compared on full sets, block against block, once, and not again in each tree. So
+what a node or a block puts out grows with its members and not with their pairs. A large node whose members are all in one component is
+finished; any other keeps branching until it is small, and after ``DEEPEST`` levels what is left is taken block
+against block. No pair is dropped for the size of its group.
 
 Defined results: null and empty texts have no shingles and stand alone; texts under five words
 are one shingle; repeated rows fall into one class; a null id sorts after all others within its component and
-is never the component's name unless there is no other; extra columns are ignored.
+is never the component's name unless there is no other; extra columns are ignored; an empty table gives an empty
+result; a very long text is one set, compared whole, in a block of its own from ``LONG`` shingles on.
 """
 
 from __future__ import annotations
@@ -33,15 +37,20 @@ from .components import components
 
 WORDS = 5
 NUMBER, WHOLE = 75, 100
-HASHES = 64
+HASHES = 128
 TREES = 14
 ROOTS = 2
-SMALL = 48
-WIDE = 384
+SMALL = 1024
 LEVELS = 7
-DEEPEST = 40
+DEEPEST = 12
+#: Sketch likeness from which a class follows a leader, and from which a pair is compared: the latter is over five
+#: standard errors of the sketch under the threshold.
 ALIKE = 0.70
-MAYBE = 0.45
+MAYBE = 0.55
+#: About how many classes and shingles a block has; two blocks are compared in one task.
+GROUP = 384
+LONG = 1 << 20
+COLUMNS = 4096
 BLOCK = 1 << 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -135,15 +144,21 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Set size, class, sketch of 16 bits a token, and the whole tokens that choose the roots."""
     shingles = Shingles()
     for batch in batches:
-        n, key, sk = [], [], []
+        n, key, sk, roots = [], [], [], []
         for t in batch.column("text"):
             s = shingles(t.as_py())
             n.append(len(s))
             key.append(xxhash.xxh3_128_digest(s.tobytes()))
-            sk.append(sketch(s).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sk, pa.binary()), batch.column("key")], names=["doc_id", "n", "class", "sketch", "key"])
+            tokens = sketch(s) if len(s) else np.zeros(0, "<u4")
+            sk.append(tokens.astype("<u2").tobytes())
+            roots.append(tokens[: TREES * ROOTS].tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sk, pa.binary()), pa.array(roots, pa.binary()), batch.column("key")],
+            names=["doc_id", "n", "class", "sketch", "roots", "key"],
+        )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,22 +169,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
 
 
-def _children(node: np.ndarray, sk: np.ndarray, pick: np.ndarray, salt: int) -> np.ndarray:
-    token = sk[np.arange(len(sk)), pick].astype(np.uint64)
-    return _hash(_hash(node + np.uint64(salt)) ^ _hash((pick.astype(np.uint64) << np.uint64(32)) + token)).astype(np.int64)
+def _children(node: np.ndarray, pick: np.ndarray, token: np.ndarray, salt: int) -> np.ndarray:
+    return _hash(_hash(node + np.uint64(salt)) ^ _hash((pick.astype(np.uint64) << np.uint64(32)) + token.astype(np.uint64))).astype(np.int64)
 
 
 def _root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sk = _matrix(batch.column("sketch"))
-        for tree in range(TREES):
-            for j in range(ROOTS):
-                pick = np.full(len(sk), (tree * ROOTS + j) % HASHES)
-                child = _children(np.full(len(sk), tree, np.uint64), sk, pick, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(child), batch.column("class")], names=["node", "class"])
+        tokens = np.frombuffer(b"".join(batch.column("roots").to_pylist()), "<u4").reshape(-1, TREES * ROOTS)
+        for pick in range(TREES * ROOTS):
+            child = _children(np.full(len(tokens), pick // ROOTS, np.uint64), np.full(len(tokens), pick), tokens[:, pick], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(child), batch.column("class")], names=["node", "class"])
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +191,9 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dice = _hash(node ^ np.uint64(0x5DEECE66D))
         for j, use in ((0, np.ones(len(sk), bool)), (1, (dice >> np.uint64(8)) % np.uint64(3) == 0)):
             pick = ((dice >> np.uint64(16 + 12 * j)) % np.uint64(HASHES)).astype(np.int64)
-            child = _children(node, sk, pick, 2 + j)
+            child = _children(node, pick, sk[np.arange(len(sk)), pick], 2 + j)
             keep = pa.array(use)
-            yield pa.RecordBatch.from_arrays([pa.array(child).filter(keep), batch.column("class").filter(keep), batch.column("sketch").filter(keep)], names=["node", "class", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(child), *(batch.column(c) for c in ("class", "n", "sketch"))], names=["node", "class", "n", "sketch"]).filter(keep)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -202,20 +214,39 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def _likeness(sk: np.ndarray) -> np.ndarray:
-    return (sk[:, None, :] == sk[None, :, :]).mean(2)
+    out = np.empty((len(sk), len(sk)), np.float32)
+    for k in range(0, len(sk), 32):
+        out[k : k + 32] = np.count_nonzero(sk[k : k + 32, None, :] == sk[None, :, :], axis=2)
+    return out / np.float32(HASHES)
 
 
 PAIR = "a binary, b binary"
 
 
-def _emit(pairs: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    a, b = ([p[0] for p in pairs], [p[1] for p in pairs])
+def _pairs(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
+def _forest(link: np.ndarray) -> list[list[tuple[int, int]]]:
+    """A spanning tree, as (member, its parent) from the first member on, for each component of a symmetric matrix."""
+    left, out = np.ones(len(link), bool), []
+    for i in range(len(link)):
+        if left[i]:
+            left[i] = False
+            tree, todo = [(i, i)], [i]
+            while todo:
+                j = todo.pop()
+                near = np.flatnonzero(link[j] & left).tolist()
+                left[near] = False
+                tree += [(k, j) for k in near]
+                todo += near
+            out.append(tree)
+    return out
+
+
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per node, each class with the first class, in the order of classes, that it resembles."""
-    out: set[tuple[bytes, bytes]] = set()
+    """Per node, each class with the first class, in the order of classes, that it resembles; per task one leader a class."""
+    lead_of: dict[bytes, bytes] = {}
     for t in _groups(batches, "node"):
         keys = t.column("class").to_pylist()
         order = np.argsort(np.array(keys, dtype=object))
@@ -226,48 +257,70 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if lead:
                 best = lead[int(like[x, lead].argmax())]
                 if like[x, best] >= ALIKE:
-                    out.add((keys[best], keys[x]))
+                    lead_of[keys[x]] = min(keys[best], lead_of.get(keys[x], keys[best]))
                     continue
             lead.append(x)
-        if len(out) > 50_000:
-            yield _emit(out)
-            out = set()
-    yield _emit(out)
+        if len(lead_of) > 50_000:
+            yield _pairs(list(lead_of.values()), list(lead_of))
+            lead_of = {}
+    yield _pairs(list(lead_of.values()), list(lead_of))
 
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per node, all pairs in different components that may be similar."""
+def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per node a spanning forest of the pairs that may be similar though in different components."""
     out: set[tuple[bytes, bytes]] = set()
     for t in _groups(batches, "node"):
-        root = t.column("root").to_pylist()
-        if len(set(root)) == 1:
-            continue
+        root = np.unique(np.array(t.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+        link = (_likeness(_matrix(t.column("sketch"))) >= MAYBE) & (root[:, None] != root[None, :])
         keys = t.column("class").to_pylist()
-        like = _likeness(_matrix(t.column("sketch")))
-        for x, y in zip(*np.nonzero(np.triu(like >= MAYBE, 1)), strict=True):
-            if root[x] != root[y]:
-                out.add((min(keys[x], keys[y]), max(keys[x], keys[y])))
+        out.update((keys[j], keys[k]) for tree in _forest(link) for k, j in tree[1:])
         if len(out) > 50_000:
-            yield _emit(out)
+            yield _pairs(*map(list, zip(*out, strict=True)))
             out = set()
-    yield _emit(out)
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if NUMBER * max(len(p), len(q)) > WHOLE * min(len(p), len(q)):
-                good.append(False)
-                continue
-            both = len(p) + len(q) - len(np.union1d(p, q))
-            good.append(WHOLE * both >= NUMBER * (len(p) + len(q) - both))
-        keep = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-
-NODE = "node long, class binary, sketch binary"
+    if out:
+        yield _pairs(*map(list, zip(*out, strict=True)))
+
+
+def _links(sets: list[np.ndarray]) -> np.ndarray:
+    """Which sets reach the threshold with which: common members are counted by products of membership matrices."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(m, dtype=np.int32), size)[order]
+    column = np.cumsum(np.append(True, every[1:] != every[:-1])) - 1
+    shared = np.bincount(column) > 1
+    keep = shared[column]
+    column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
+    both = np.zeros((m, m))
+    for first in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        x = np.zeros((m, COLUMNS), np.float32)
+        x[owner[a:b], column[a:b] - first] = 1
+        both += x @ x.T
+    link = WHOLE * both >= NUMBER * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(link, False)
+    return link
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per group a spanning forest of the links between its full sets."""
+    a: list[bytes] = []
+    b: list[bytes] = []
+    for t in _groups(batches, "g"):
+        if t.num_rows > 1:
+            keys = t.column("class").to_pylist()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("members")]
+            for tree in _forest(_links(sets)):
+                a += [keys[j] for _, j in tree[1:]]
+                b += [keys[k] for k, _ in tree[1:]]
+        if len(a) > 50_000:
+            yield _pairs(a, b)
+            a, b = [], []
+    yield _pairs(a, b)
+
+
+NODE = "node long, class binary, n long, sketch binary"
 
 
 def _text_key() -> Column:
@@ -276,97 +329,109 @@ def _text_key() -> Column:
 
 
 class Join:
-    """The trees, their pairs and the components, over the classes of one table."""
+    """The trees, their groups and the components, over the classes of one table."""
 
     def __init__(self, scratch: Scratch, docs: DataFrame):
         self.scratch, self.docs = scratch, docs
-        self.rows = scratch.save(docs.select("doc_id", "text", _text_key().alias("key")).mapInArrow(_describe, "doc_id long, n long, class binary, sketch binary, key string"))
+        self.rows = scratch.save(docs.select("doc_id", "text", _text_key().alias("key")).mapInArrow(_describe, "doc_id long, n long, class binary, sketch binary, roots binary, key string"))
         full = self.rows.filter("n > 0")
-        self.classes = scratch.save(full.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+        self.classes = scratch.save(full.groupBy("class").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "sketch", "roots"))))
 
-    def split(self, nodes: DataFrame, few: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    def split(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Small nodes of two classes and more, and large ones; written. Roots get their sketches only now."""
         counts = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         both = nodes.join(counts, "node")
         if "sketch" not in nodes.columns:
-            both = self.scratch.save(both).join(self.classes.select("class", "sketch"), "class")
-        both = self.scratch.save(both.select("node", "class", "sketch", "size"))
-        return both.filter(F.col("size") <= few).drop("size"), both.filter(F.col("size") > few).drop("size")
-
-    def forest(self) -> tuple[list[DataFrame], DataFrame]:
-        """Small nodes level by level, and what is still large."""
-        small = []
-        nodes = self.classes.select("class", "sketch").mapInArrow(_root, "node long, class binary")
-        for level in range(LEVELS):
-            few, many = self.split(nodes)
-            small.append(few)
-            if level == LEVELS - 1 or many.isEmpty():
+            both = self.scratch.save(both).join(self.classes.select("class", "n", "sketch"), "class")
+        both = self.scratch.save(both.select("node", "class", "n", "sketch", "size"))
+        return both.filter(F.col("size") <= SMALL).drop("size"), both.filter(F.col("size") > SMALL).drop("size")
+
+    def forest(self) -> tuple[DataFrame, DataFrame]:
+        """Small nodes of all levels, and what is still large."""
+        few, many = self.split(self.classes.select("class", "roots").mapInArrow(_root, "node long, class binary"))
+        for _ in range(LEVELS - 1):
+            if many.isEmpty():
                 break
-            nodes = many.mapInArrow(_branch, NODE)
-        return small, many
+            more, many = self.split(many.mapInArrow(_branch, NODE))
+            few = few.unionByName(more)
+        return few, many
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that reach the threshold on their full sets."""
-        pairs = self.scratch.save(pairs.distinct())
-        of = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    def verify(self, groups: DataFrame) -> DataFrame:
+        """The links within groups (g, class) that reach the threshold on full sets, as spanning forests."""
+        of = groups.select("class").distinct()
         # written, so that its size is known: while it is small, the texts stay where they are
-        ids = self.scratch.save(self.classes.join(of, "class", "left_semi").select(F.col("least").alias("id__")).distinct())
-        texts = self.docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id__")), "left_semi")
-        sets = texts.mapInArrow(_sets, "class binary, members binary").join(of, "class", "left_semi")
-        sets = self.scratch.save(sets.groupBy("class").agg(F.first("members").alias("members")))
-        both = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("left")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("right")), "b")
-        out = self.scratch.save(both.mapInArrow(_confirm, PAIR))
+        ids = self.scratch.save(self.classes.join(of, "class", "left_semi").select("class", F.col("least").alias("id__")))
+        texts = self.docs.select("doc_id", "text").join(ids.select("id__").distinct(), F.col("doc_id").eqNullSafe(F.col("id__")), "left_semi")
+        sets = texts.mapInArrow(_sets, "class binary, members binary").join(ids.select("class"), "class", "left_semi")
+        sets = self.scratch.save(sets.dropDuplicates(["class"]))
+        out = self.scratch.save(groups.join(sets, "class").select("g", "class", "members").repartition(F.xxhash64("g")).sortWithinPartitions("g").mapInArrow(_verify, PAIR))
         self.scratch.drop(sets)
-        self.scratch.drop(pairs)
+        self.scratch.drop(ids)
         return out
 
-    def rooted(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        return nodes.join(labels.withColumnRenamed("v", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    def led(self, few: DataFrame, many: DataFrame) -> DataFrame:
+        """Groups of one leader and a bounded number of its followers: each class follows at most one."""
+        # a large node is cut into blocks, each with the node's first class for a leader
+        size = many.groupBy("node").agg(F.count("*").alias("size"), F.min_by(F.struct("class", "sketch"), F.col("class")).alias("first"))
+        size = self.scratch.save(size.withColumn("blocks", F.ceil(F.col("size") / SMALL)))
+        cut = many.join(size.select("node", "blocks"), "node").select(F.xxhash64("node", F.pmod(F.xxhash64("class"), F.col("blocks"))).alias("node"), "class", "sketch")
+        first = size.select("node", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select(F.xxhash64("node", F.col("k")).alias("node"), "first.class", "first.sketch")
+        blocks = cut.unionByName(first).dropDuplicates(["node", "class"])
+        pairs = self.by_node(few.select("node", "class", "sketch").unionByName(blocks)).mapInArrow(_leaders, PAIR)
+        pairs = self.scratch.save(pairs.groupBy("b").agg(F.min("a").alias("a")).join(self.classes.select(F.col("class").alias("b"), "n"), "b"))
+        count = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / LONG)).alias("blocks"))
+        follow = pairs.join(count, "a").select("a", F.col("b").alias("class"), F.xxhash64("a", F.pmod(F.xxhash64("b", F.lit(3)), F.col("blocks"))).alias("g"))
+        return self.scratch.save(follow.select("g", "class").unionByName(follow.select("g", F.col("a").alias("class")).distinct()))
 
     def mixed(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        """The rows of nodes whose members are not all in one component."""
-        rooted = self.rooted(nodes, labels)
+        """The rows of nodes whose members are not all in one component, with their components."""
+        rooted = nodes.join(labels.withColumnRenamed("v", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         several = rooted.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("node")
-        return rooted.join(several, "node")
+        return rooted.join(several, "node").select("node", "class", "n", "sketch", "root")
 
     @staticmethod
-    def by_node(nodes: DataFrame, block: Column | None = None) -> DataFrame:
-        return nodes.repartition("node").sortWithinPartitions("node")
+    def by_node(nodes: DataFrame) -> DataFrame:
+        # by a function of the key: a plain key may already be dealt by a join, which adaptive execution can turn into
+        # a broadcast that deals nothing, and a node would be cut
+        return nodes.repartition(F.xxhash64("node")).sortWithinPartitions("node")
+
+    def apart(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs that may be similar across components, enough of them to connect what a small node connects."""
+        return self.scratch.save(self.by_node(self.mixed(nodes, labels)).mapInArrow(_maybe, PAIR))
+
+    def families(self, pairs: DataFrame) -> DataFrame:
+        """Groups that hold each pair of the blocks of what the pairs connect."""
+        of = components(self.scratch, pairs).withColumnRenamed("v", "class").join(self.classes.select("class", "n"), "class")
+        size = of.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / LONG)).alias("blocks"))
+        mine = of.join(size, "root").withColumn("k", F.pmod(F.xxhash64("class", F.lit(9)), F.col("blocks")))
+        # a block meets itself where it meets another, so (k, k) is needed only if there is one block
+        other = mine.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("o <> k or blocks = 1")
+        return self.scratch.save(other.select(F.xxhash64("root", F.least("k", "o"), F.greatest("k", "o")).alias("g"), "class"))
+
+    def against(self, many: DataFrame) -> DataFrame:
+        """Large nodes as small ones that hold each pair of the node's blocks: exact, whatever the node's size."""
+        half = SMALL // 3
+        size = many.groupBy("node").agg(F.ceil(F.count("*") / half).alias("blocks"))
+        mine = many.join(size, "node").withColumn("k", F.pmod(F.xxhash64("class", F.lit(9)), F.col("blocks")))
+        other = mine.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        return other.select(F.xxhash64("node", F.least("k", "o"), F.greatest("k", "o")).alias("node"), "class", "n", "sketch")
 
     def run(self) -> DataFrame:
         """(class, root) for the classes that are linked to another."""
-        small, many = self.forest()
-        few = small[0]
-        for more in small[1:]:
-            few = few.unionByName(more)
-        # a large node is cut into blocks, each with the node's first class for a leader
-        size = many.groupBy("node").agg(F.count("*").alias("size"), F.min_by(F.struct("class", "sketch"), F.col("class")).alias("first"))
-        size = self.scratch.save(size.withColumn("blocks", F.ceil(F.col("size") / SMALL)))
-        cut = many.join(size.select("node", "blocks"), "node").select(F.xxhash64("node", F.pmod(F.xxhash64("class"), F.col("blocks"))).alias("node"), "class", "sketch")
-        led = size.select("node", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select(F.xxhash64("node", F.col("k")).alias("node"), "first.class", "first.sketch")
-        blocks = cut.unionByName(led).dropDuplicates(["node", "class"])
-        edges = self.confirm(self.by_node(few.unionByName(blocks)).mapInArrow(_leaders, PAIR))
+        few, many = self.forest()
+        edges = self.verify(self.led(few, many))
         labels = self.scratch.save(components(self.scratch, edges))
-
-        pairs = self.by_node(self.mixed(few, labels).select("node", "class", "sketch", "root")).mapInArrow(_rest, PAIR)
-        todo = [self.scratch.save(pairs)]
+        pairs = self.apart(few, labels)
         # what is large and still mixed branches on; each level is written, so plans stay small
-        for _ in range(DEEPEST):
-            many = self.scratch.save(self.mixed(many, labels).select("node", "class", "sketch"))
+        for level in range(DEEPEST + 1):
+            many = self.scratch.save(self.mixed(many, labels).drop("root"))
             if many.isEmpty():
                 break
-            few, many = self.split(many.mapInArrow(_branch, NODE), WIDE)
-            todo.append(self.scratch.save(self.by_node(self.mixed(few, labels).select("node", "class", "sketch", "root")).mapInArrow(_rest, PAIR)))
-        else:
-            if not self.mixed(many, labels).isEmpty():
-                raise RuntimeError("near duplicates: large mixed nodes are left after the deepest level")
-        pairs = todo[0]
-        for more in todo[1:]:
-            pairs = pairs.unionByName(more)
-        more = self.confirm(pairs)
-        if more.isEmpty():
+            few, many = self.split(many.mapInArrow(_branch, NODE)) if level < DEEPEST else (self.against(many), many.limit(0))
+            pairs = pairs.unionByName(self.apart(few, labels))
+        if pairs.isEmpty():
             return labels
-        return self.scratch.save(components(self.scratch, edges.unionByName(more)))
+        return self.scratch.save(components(self.scratch, edges.unionByName(self.verify(self.families(pairs)))))
 
 
 def _placed(docs: DataFrame) -> DataFrame:

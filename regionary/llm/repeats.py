@@ -242,7 +242,7 @@ def _marks(scratch: Scratch, segments: DataFrame, widths: tuple[int, ...]) -> Da
     shards = max(1, -(-total // SHARD))
     sized = segments.join(single.select("anchor", "bytes"), "anchor")
     light = sized.filter(F.col("bytes") <= SHARD).select("anchor", "segment", "body", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    out = sure.unionByName(light.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard, "anchor long, segment binary, a int, b int"))
+    out = sure.unionByName(light.repartition(F.xxhash64("shard")).sortWithinPartitions("shard").mapInArrow(_shard, "anchor long, segment binary, a int, b int"))
     if not widths or single.filter(F.col("bytes") > SHARD).isEmpty():
         return out
     heavy = sized.filter(F.col("bytes") > SHARD).drop("bytes")
