@@ -23,7 +23,7 @@ _RUNS = re.compile(r"[a-zß-ÿœ]+|[A-ZÀ-ÞŒ]+|[0-9]+|(.)\1*", re.S)
 def shape(word: str) -> str:
     """A word with its letters and digits blotted out: case, marks and their repetition stay."""
     out = []
-    for m in _RUNS.finditer(word[:64]):
+    for m in _RUNS.finditer(word):
         run = m[0]
         c = run[0]
         if c.isalpha():
@@ -83,14 +83,15 @@ def mod(name: str, m: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, make: Callable, schema: str, most: int = LABELLED) -> list:
-    """Features of a bounded sample of labelled documents: per class the ``most`` ids of least hash.
+    """Features of a bounded sample of labelled documents: per class the ``most`` ids of least hash, one text each.
 
     The bound makes the sample safe to broadcast (two longs a row) and to bring to the driver.
-    Where an id is labelled more than once, the larger label counts.
+    Where an id is labelled more than once, the larger label counts; of several texts of one id, the one of least hash.
     """
     rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     rank = F.xxhash64("doc_id", F.lit(17))
     ends = [rows.filter(F.col("label") == k).orderBy(rank, "doc_id").limit(most) for k in (0, 1)]
     chosen = ends[0].unionByName(ends[1])
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    return found.mapInArrow(make, schema).orderBy("doc_id").limit(4 * most).collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label")
+    one = found.agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
+    return one.mapInArrow(make, schema).orderBy("doc_id").collect()

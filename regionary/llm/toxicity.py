@@ -32,6 +32,8 @@ CLEAN_WEIGHT = 2.0
 LEAST_DOCS = 3
 TRUST = 8.0
 BIAS = -8.0
+#: How many features are worked on at once in the fit, to bound the driver's memory.
+PART = 1 << 19
 
 
 def sentences(text: str | None, words: grams.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -83,13 +85,14 @@ class Model:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Model:
     """Gradient ascent with momentum on the likelihood of the document labels.
 
-    Copies of a text teach once; clean documents weigh ``CLEAN_WEIGHT`` times. The bias is fixed, so that the many
+    ``rows`` is emptied, to hold each feature once. Copies of a text teach once; clean documents weigh ``CLEAN_WEIGHT`` times. The bias is fixed, so that the many
     sentences of a long clean document don't add up. It starts at the words' log-odds, less so for rare ones.
     """
     size = 1 << grams.BITS
     first = {ids.tobytes(): k for k, (ids, _) in reversed(list(enumerate(rows))) if len(ids)}
     use = sorted(first.values())
-    rows, label = [rows[k] for k in use], label[use]
+    every, rows, label = rows, [rows[k] for k in use], label[use]
+    every.clear()
     if not rows or label.min() == label.max():
         return Model(np.zeros(size), -50.0)
     found = np.zeros((2, size))
@@ -111,13 +114,19 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Model:
     w = np.append(2 * np.maximum(np.log(share[1] / share[0]) - 1, 0) * seen / (seen + TRUST), 0.0)
     weight = np.where(label == 1, 1.0, CLEAN_WEIGHT)
     speed = np.zeros(len(w))
+    rows.clear()
+    parts = [slice(k, k + PART) for k in range(0, len(ids), PART)]
     for _ in range(EPOCHS):
-        z = np.bincount(sentence, weights=w[ids], minlength=len(doc)) + BIAS
+        z = np.full(len(doc), BIAS)
+        for part in parts:
+            z += np.bincount(sentence[part], weights=w[ids[part]], minlength=len(doc))
         none = np.bincount(doc, weights=_log_none(z))
         p = -np.expm1(none)
         pull = np.where(label == 1, np.exp(none) / np.maximum(p, 1e-9), -1.0) * weight
         by_sentence = pull[doc] / (1 + np.exp(-np.clip(z, -50, 50)))
-        g = np.bincount(ids, weights=by_sentence[sentence], minlength=len(w))
+        g = np.zeros(len(w))
+        for part in parts:
+            g += np.bincount(ids[part], weights=by_sentence[sentence[part]], minlength=len(w))
         speed = MOMENTUM * speed + np.clip(RATE * g - SHRINK * w, -1, 1)
         w += speed
         w[-1] = 0.0
@@ -131,7 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     """Learns from labels whose id's crc32 modulo ``folds`` is not ``held``."""
     got = grams.labelled(docs, labels, label, grams.mod("doc_id", folds) != held, _features, "doc_id long, label int, ids binary, sentence binary", LABELLED)
     rows = [(np.frombuffer(r["ids"], "<i4").reshape(-1, WIDTH), np.frombuffer(r["sentence"], "<i4")) for r in got]
-    return fit(rows, np.array([r["label"] for r in got], np.int64))
+    label = np.array([r["label"] for r in got], np.int64)
+    del got
+    return fit(rows, label)
 
 
 SCORED = "doc_id long, score double, worst_sentence int, worst_score double, worst_first_word int, worst_words int"
