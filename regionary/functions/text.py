@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .reading import longest_first, without_terms
+
 STOP_WORDS = {
     "en": ("the", "and", "of", "to", "in", "is", "for", "with", "on", "that", "this", "by", "are", "was", "from"),
     "fr": ("le", "la", "les", "de", "des", "et", "un", "une", "en", "dans", "que", "qui", "pour", "avec", "est"),
@@ -45,8 +47,9 @@ def slug(c: Column, most: int = 60, default: str = "doc") -> Column:
 
 
 def source_key(c: Column) -> Column:
-    """SC5: a file name without long digit runs, copy marks and other than letters and digits."""
+    """SC5: a file name without long digit runs, a single ``-q`` mark, copy marks and other than letters and digits."""
     out = F.regexp_replace(F.lower(c), r"[0-9]{4,}", "")
+    out = F.regexp_replace(out, r"-q(?![a-z0-9])", "")
     return F.regexp_replace(F.regexp_replace(out, r"\([0-9]+\)", ""), r"[^a-z0-9]+", "")
 
 
@@ -99,13 +102,33 @@ def carried_words(source: Column, target: Column) -> Column:
     return F.size(F.filter(F.regexp_extract_all(target, F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda w: F.array_contains(lower, F.lower(w))))
 
 
+#: Letters with a Vietnamese mark, lower and upper case, as ranges of code points.
+MARKED_LETTERS = "[À-ÃÈ-ÊÌÍÒ-ÕÙÚÝà-ãè-êìíò-õùúýĂăĐđĨĩŨũƠơƯưẠ-ỹ]"
+
+
+def marked_words(c: Column) -> Column:
+    """SC14: how many words between blanks have a letter with a Vietnamese mark."""
+    return F.size(F.filter(F.split(c, r"\s+"), lambda w: w.rlike(MARKED_LETTERS)))
+
+
+def carry_through(source: Column, target: Column) -> Column:
+    """SC14: three carried words or more, and over twice as many as marked words, half a word at least."""
+    carried = carried_words(source, target)
+    return (carried >= 3) & (carried > 2 * F.greatest(marked_words(target).cast("double"), F.lit(0.5)))
+
+
 def letter_words(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"\p{L}{3,}"))
 
 
-def authenticity(source: Column, target: Column) -> Column:
-    """SC10: identical, truncated or null (no verdict); under four words there is no evidence."""
-    strip = lambda c: F.regexp_replace(c, r"https?://\S+|\S+@\S+", " ")
+def authenticity(source: Column, target: Column, keep: Sequence[str] = (), target_language: str = "") -> Column:
+    """SC10: identical, truncated, lang_suspect or null (no verdict); under four words without keep terms there is no evidence.
+
+    Only for the target language ``vi`` a target of 20 letters and more is suspect with under 5 % of them marked.
+    """
+    strip = lambda c: without_terms(F.regexp_replace(c, r"https?://\S+|\S+@\S+", " "), keep)
+    letters = F.regexp_count(target, F.lit(r"\p{L}"))
+    suspect = F.lit(target_language == "vi") & (letters >= 20) & (F.regexp_count(target, F.lit(MARKED_LETTERS)) < 0.05 * letters)
     s, t = letter_words(strip(source)), letter_words(strip(target))
     share = t.cast("double") / s
     return (
@@ -113,6 +136,7 @@ def authenticity(source: Column, target: Column) -> Column:
         .when(F.lower(fold_blanks(source)) == F.lower(fold_blanks(target)), "identical")
         .when((s >= 6) & (share < 0.45), "truncated")
         .when((s >= 12) & (share < 0.60), "truncated")
+        .when(suspect, "lang_suspect")
     )
 
 
@@ -128,7 +152,7 @@ def artifact(source: Column, target: Column) -> Column:
 
 
 def punctuation(c: Column, table: Sequence[tuple[str, str]] = (("…", "..."), ("“", '"'), ("”", '"'), ("–", "-"))) -> Column:
-    """SC17: replacements in turn, then double spaces collapsed."""
+    """SC17: replacements in turn, then double spaces collapsed; ``punctuation(c) != c`` says whether it changed."""
     for a, b in table:
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.regexp_replace(c, "  +", " ")
@@ -141,24 +165,36 @@ def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-#: Kinds of masked tokens in the order in which they are sought.
+#: Units of measure, and bodies whose names begin a standard's number.
+UNITS = ("mm", "cm", "m", "km", "g", "kg", "V", "kV", "A", "mA", "Ah", "mAh", "W", "kW", "Wh", "kWh", "Hz", "kHz", "MB", "GB", "%", "°C", "°F")
+BODIES = ("ISO", "IEC", "EN", "DIN", "UL", "ANSI", "IEEE", "FCC", "CE", "UN")
+
+
+def _any_of(values: Sequence[str]) -> str:
+    return "(?:" + "|".join(sorted(values, key=lambda v: (-len(v), v))) + ")"
+
+
+#: Kinds of masked tokens in the order in which they are sought; brand names come after addresses, as they are a parameter.
 MASKS = (
-    ("URL", r"(?:https?://|www\.)[^\s⟦⟧]+"),
+    ("URL", r"(?:[a-z]+://|www[.])[^\s⟦⟧]+"),
     ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    ("MEAS", r"(?<![\w⟦])[0-9]+(?:[.,][0-9]+)?\s?(?:mm|cm|km|kg|V|A|W|Hz|MB|GB|%)(?!\w)"),
-    ("MODEL", r"(?<![\w⟦_])[A-Z]{1,4}[0-9]+(?:[-/][A-Z0-9]+)*(?!\w)"),
+    ("STD", rf"(?<![\w⟦]){_any_of(BODIES)}[\s-]?[0-9](?:[\w.-]*\w)?(?!\w)"),
+    ("MEAS", rf"(?<![\w⟦_.,])[0-9](?:[0-9.,]*[0-9])?\s?{_any_of(UNITS)}(?!\w)"),
+    ("MODEL", r"(?<![\w⟦_])(?:[A-Z]{1,4}[0-9][0-9A-Za-z]*(?:[/-][0-9A-Za-z]+)*|Ø\s?[0-9]+)(?!\w)"),
 )
 
 
-def mask(c: Column) -> Column:
+def mask(c: Column, keep: Sequence[str] = ()) -> Column:
     """SC6, natively: struct(masked, map) with tokens ⟦KIND_n⟧, numbered per kind in order of appearance.
 
     Each kind is sought in the text that the kinds before have masked, between the masks. The text is cut at marks
-    around the matches, and a fold numbers them. Marks in the text itself are put aside first.
+    around the matches, and a fold numbers them. Marks in the text itself are put aside first. ``keep`` are brand names, sought in
+    their own case, the longest first, between other than ASCII letters and digits.
     """
+    brand = ((("BRAND", rf"(?<![A-Za-z0-9])(?:{longest_first(keep)})(?![A-Za-z0-9])"),) if keep else ())
     text = F.translate(c, "\x01", "�")
     entries = F.array().cast("array<struct<key:string,value:string>>")
-    for kind, pattern in MASKS:
+    for kind, pattern in (*MASKS[:2], *brand, *MASKS[2:]):
         parts = F.split(F.regexp_replace(text, f"({pattern})", "\x01$1\x01"), "\x01", -1)
         marked = F.transform(parts, lambda p, i: F.struct(p.alias("p"), ((i % 2) == 1).alias("hit"), ((i + 1) / 2).cast("int").alias("n")))
         entries = F.concat(entries, F.transform(F.filter(marked, lambda e: e["hit"]), _entry(kind)))
@@ -175,8 +211,10 @@ def _shown(kind: str):
 
 
 def restore(masked: Column, tokens: Column) -> Column:
-    """SC7: every known token back in its place, literally; unknown ones stay."""
-    return F.aggregate(F.map_entries(tokens), masked, lambda t, e: F.replace(t, F.concat(F.lit("⟦"), e["key"], F.lit("⟧")), e["value"]))
+    """SC7: every known token back in its place, literally; unknown ones stay. The text is cut at its tokens once."""
+    parts = F.split(F.regexp_replace(masked, "⟦([A-Z]+_[0-9]+)⟧", "\x01$1\x01"), "\x01", -1)
+    known = lambda p: F.coalesce(F.try_element_at(tokens, p), F.concat(F.lit("⟦"), p, F.lit("⟧")))
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, known(p)).otherwise(p)), "")
 
 
 def coverage(target: Column, window: Column, page: Column, kept: Column) -> Column:

@@ -52,7 +52,8 @@ def chains(df: DataFrame, per: list[str], order: list[str], links: Column, most:
 def batches(df: DataFrame, per: list[str], order: list[str], page: str, held: str, most: int = 20) -> DataFrame:
     """GR6: numbers batches in order; a new one begins on another page or after ``most`` rows, never where ``held``.
 
-    The size restarts at each cut, so this is a fold over each group (a job), sorted inside it.
+    A batch always begins on another page where not held, so a group (a job) is cut there first; the size restarts at each cut, so
+    between two such places this is a fold, and the batches of all parts before give the numbers.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -65,7 +66,13 @@ def batches(df: DataFrame, per: list[str], order: list[str], page: str, held: st
             out.append(number)
         return pdf.assign(batch=out)
 
-    return df.groupBy(*per).applyInPandas(fold, StructType([*df.schema.fields, StructField("batch", LongType())]))
+    turned = ~F.col(page).eqNullSafe(F.lag(page).over(W.partitionBy(*per).orderBy(*order))) & ~F.col(held)
+    parts = islands(df, per, order, turned)
+    local = parts.groupBy(*per, "island").applyInPandas(fold, StructType([*parts.schema.fields, StructField("batch", LongType())]))
+    counts = local.groupBy(*per, "island").agg((F.max("batch") + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*per).orderBy("island").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = local.join(counts.withColumn("_before", before).drop("_n"), [*per, "island"])
+    return out.withColumn("batch", F.col("batch") + F.col("_before")).select(*df.columns, "batch")
 
 
 def illegal_steps(df: DataFrame, per: list[str], order: list[str], status: str, allowed: DataFrame) -> DataFrame:

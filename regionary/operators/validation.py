@@ -6,21 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-#: Severity of each code.
-SEVERITY = {"IDENTICAL": "P0", "TRUNCATED": "P1", "ARTIFACT": "P0", "NEGATION_DROP": "P1", "SYMBOL_DRIFT": "P1", "CARRY_THROUGH": "P2"}
-
-
-def pair_rules(source: Column, target: Column) -> dict[str, Column]:
+from ..functions.reading import address_drift
+
+#: The severity of each code.
+SEVERITY = {
+    "TRANSLATION_IDENTICAL": "P1",
+    "TRANSLATION_TRUNCATED": "P1",
+    "TARGET_LANG_SUSPECT": "P1",
+    "LLM_ARTIFACT": "P1",
+    "NUMBER_DRIFT": "P1",
+    "NEGATION_DROP": "P1",
+    "SYMBOL_DRIFT": "P1",
+    "TRANSLATION_CARRY_THROUGH": "P0",
+    "CONSISTENCY_ENTITY": "P1",
+}
+
+
+def pair_rules(source: Column, target: Column, keep: tuple[str, ...] = (), target_language: str = "") -> dict[str, Column]:
     """Independent rules over a pair; null means no verdict."""
-    kind = T.authenticity(source, target)
+    kind = T.authenticity(source, target, keep, target_language)
+    bag = lambda c: F.array_sort(T.digit_runs(c))
     return {
-        "IDENTICAL": kind == "identical",
-        "TRUNCATED": kind == "truncated",
-        "ARTIFACT": T.artifact(source, target).isNotNull(),
+        "TRANSLATION_IDENTICAL": kind == "identical",
+        "TRANSLATION_TRUNCATED": kind == "truncated",
+        "TARGET_LANG_SUSPECT": kind == "lang_suspect",
+        "LLM_ARTIFACT": T.artifact(source, target).isNotNull(),
+        "NUMBER_DRIFT": bag(source) != bag(target),
         "NEGATION_DROP": T.negation_drop(source, target),
         "SYMBOL_DRIFT": T.symbol_drift(source, target) > 0,
-        "CARRY_THROUGH": T.carried_words(source, target) >= 3,
+        "TRANSLATION_CARRY_THROUGH": T.carry_through(source, target),
+        "CONSISTENCY_ENTITY": F.size(address_drift(source, target)) > 0,
     }
 
 

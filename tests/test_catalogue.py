@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from regionary.plans import catalogue
+from regionary.plans import catalogue, regions  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
