@@ -30,6 +30,8 @@ PATTERNS = {
 }
 LEAST = {"assign": 6, "access": 20, "hex": 24, "token": 20}
 OWNERS_OF_EXAMPLE = 3
+#: A value in as many documents (repositories) is a copied example too, whoever owns them.
+REPOSITORIES_OF_EXAMPLE = 25
 LEAST_BITS = 2.5
 
 MARK, INNER = "\x01", "\x02"
@@ -62,7 +64,7 @@ def entropy_bits(value: Column) -> Column:
     return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: F.when(c == "", acc).otherwise(acc - share(c) * F.log2(share(c))))
 
 
-def scan(docs: DataFrame, owners_of_example: int = OWNERS_OF_EXAMPLE) -> DataFrame:
+def scan(docs: DataFrame, owners_of_example: int = OWNERS_OF_EXAMPLE, repositories_of_example: int = REPOSITORIES_OF_EXAMPLE) -> DataFrame:
     """One row per document row: doc_id and ``spans``, an array by (start, kind) of
     (start, kind number, end, kind, owners, repositories, live); base kinds first among equals."""
     spark = docs.sparkSession
@@ -85,7 +87,7 @@ def scan(docs: DataFrame, owners_of_example: int = OWNERS_OF_EXAMPLE) -> DataFra
         once = hits.select("hash", owner.alias("owner"), "doc_id").groupBy("hash", "owner", "doc_id").agg(F.lit(1).alias("one"))
         counts = once.groupBy("hash", "owner").agg(F.count("*").alias("repositories")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
         order = F.element_at(F.create_map(*[x for k, kind in enumerate(kinds) for x in (F.lit(kind), F.lit(k))]), F.col("kind"))
-        told = hits.join(scratch.save(counts), "hash").withColumn("live", (F.col("owners") < owners_of_example) & F.col("random"))
+        told = hits.join(scratch.save(counts), "hash").withColumn("live", (F.col("owners") < owners_of_example) & (F.col("repositories") < repositories_of_example) & F.col("random"))
         told = told.filter(F.col("kind").isin(*KINDS) | (F.col("live") & (F.col("owners") == 1)))
         span = F.struct("start", order.alias("order"), "end", "kind", "owners", "repositories", "live")
         spans = scratch.save(told.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans")), keep=True)

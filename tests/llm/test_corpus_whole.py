@@ -14,27 +14,6 @@ import corpus_pipeline
 from regionary.llm import mixing, neardup, packing, pii, query, secrets, topk, toxicity
 
 
-def test_shared_grams_of_large_groups(spark):
-    rng = np.random.default_rng(6)
-    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
-    copy, passage = words(40), words(30)
-    texts = [copy] * 30 + [words(5) + passage + words(5) for _ in range(25)] + [copy[:30] + words(9) for _ in range(3)] + [words(40), copy[:20], ["a"]]
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    sets = [{tuple(t[i : i + 8]) for i in range(len(t) - 7)} for t in texts]
-    want = {(a, b): len(sets[a] & sets[b]) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 20}
-    rows = grouping.shared_grams(docs, words=8, least=20).collect()
-    members, k = {}, {}
-    for r in rows:
-        if r["same"]:
-            members.setdefault(r["a"], [r["a"]]).append(r["b"])
-            k[r["a"]] = r["shared"]
-    got = Counter({p: k[a] for a, m in members.items() for p in combinations(sorted(m), 2)})
-    for r in rows:
-        if not r["same"]:
-            got.update({(min(x, y), max(x, y)): r["shared"] for x in members.get(r["a"], [r["a"]]) for y in members.get(r["b"], [r["b"]])})
-    assert got == want and len(want) > 700
-
-
 @pytest.fixture(scope="module")
 def field():
     texts = [f"please mail ann{n}.lee@corp{n % 7}.example.com or call" for n in range(300)] + [f"call +1 (234) 555-0{100 + n} for item {n} today" for n in range(300)]
@@ -293,7 +272,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             copies = mixing.mix(before).select("doc_id", "copies").collect()
             assert Counter(r[0] for r in kept[name]) == Counter({r["doc_id"]: r["copies"] for r in copies if r["copies"]})
         else:
-            assert Counter(r[0] for r in kept[name]) == Counter(r[0] for r in kept["mixing"])
+            assert Counter(r[0] for r in kept[name] if r[1] == 0) == Counter(r[0] for r in kept["mixing"])
 
 
 def test_stages_of_an_empty_table(spark, tmp_path):
@@ -305,8 +284,8 @@ def test_stages_of_an_empty_table(spark, tmp_path):
 
 
 def test_ownership_tells_examples_from_credentials(spark):
-    key = "token = \"zz99zz99zz99\""
-    rows = [(i, key, f"s{i}") for i in range(9)] + [(20, 'token = "own1own1own1"', "s1")]
+    key = 'token = "Zx81kQp7Lm2v"'
+    rows = [(i, key, f"s{i}") for i in range(9)] + [(20, 'token = "aB3dE6gH9jK2"', "s1")] + [(30 + i, 'token = "qW4rT7yU1iO5"', "s2") for i in range(secrets.REPOSITORIES_OF_EXAMPLE)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: [s["live"] for s in r["spans"]] for r in secrets.scan(docs).collect()}
-    assert any(got[20]) and not any(got[0])
+    assert any(got[20]) and not any(got[0]) and not any(got[30])
