@@ -13,8 +13,8 @@ select query_id, rank, vec_id, score from r where rank <= 10"""
 
 OP5 = f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x20\\x09-\\x0D]+') w from documents),
 s as (select doc_id, list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) s from w),
-g as (select doc_id, len(s) n, unnest(s) gram from s), both as (select a.doc_id x, b.doc_id y, a.n nx, b.n ny, count(*) c from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id group by all),
-link as (select x, y from both where 100 * c >= 75 * (nx + ny - c)), {_COMPONENT}
+g as (select doc_id, len(s) n, unnest(s) gram from s), met as (select a.doc_id x, b.doc_id y, a.n nx, b.n ny, count(*) c from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id group by all),
+link as (select x, y from met where 100 * c >= 75 * (nx + ny - c)), {_COMPONENT}
 select doc_id, len(s) n_shingles, coalesce(least, doc_id) component_id, doc_id = coalesce(least, doc_id) kept from s left join low on low.a = s.doc_id"""
 
 OP6 = f"""with recursive v as (select vec_id, label, embedding::double[] e from embeddings where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
