@@ -8,7 +8,7 @@ the threshold), and a class goes to the child named by its token there. A node o
 classes is compared exhaustively; a larger one branches on. Independent trees bring the recall up.
 
 Only connection is asked for, and no list of pairs is ever made. First every class names one leader, the
-least that it resembles in any node. A leader's followers are compared on their full sets, all with all, within blocks
+least that it resembles in any root, roots of over ``LED`` classes being read in parts. A leader's followers are compared on their full sets, all with all, within blocks
 of bounded size, and only a spanning forest of their links leaves the block. Then the nodes are read again: a node puts out a
 spanning forest of the pairs that may be similar but are still in different components. What these forests
 connect is a family; its members are compared on full sets, block against block, once, and not again in each tree. So
@@ -40,8 +40,8 @@ NUMBER, WHOLE = 75, 100
 HASHES = 128
 TREES = 14
 ROOTS = 2
-SMALL = 1024
-LEVELS = 7
+SMALL = 8192
+LED = 1024
 DEEPEST = 12
 #: Sketch likeness from which a class follows a leader, and from which a pair is compared: the latter is over five
 #: standard errors of the sketch under the threshold.
@@ -266,14 +266,28 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(list(lead_of.values()), list(lead_of))
 
 
+def _bridges(sk: np.ndarray, root: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs that may be similar though in different components; a few rows of the comparison are held at a time."""
+    label = np.arange(len(sk))
+    for k in range(0, len(sk), 32):
+        same = np.count_nonzero(sk[k : k + 32, None, :] == sk[None, :, :], axis=2) >= MAYBE * HASHES
+        same &= root[k : k + 32, None] != root[None, :]
+        for i, row in enumerate(same, k):
+            near = np.flatnonzero(row)
+            found, first = np.unique(label[near], return_index=True)
+            for other, j in zip(found.tolist(), near[first].tolist(), strict=True):
+                if other != label[i]:
+                    yield j, i
+                    label[label == other] = label[i]
+
+
 def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per node a spanning forest of the pairs that may be similar though in different components."""
+    """Per node what connects the classes that may be similar though in different components."""
     out: set[tuple[bytes, bytes]] = set()
     for t in _groups(batches, "node"):
         root = np.unique(np.array(t.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
-        link = (_likeness(_matrix(t.column("sketch"))) >= MAYBE) & (root[:, None] != root[None, :])
         keys = t.column("class").to_pylist()
-        out.update((keys[j], keys[k]) for tree in _forest(link) for k, j in tree[1:])
+        out.update((keys[j], keys[i]) for j, i in _bridges(_matrix(t.column("sketch")), root))
         if len(out) > 50_000:
             yield _pairs(*map(list, zip(*out, strict=True)))
             out = set()
@@ -337,24 +351,13 @@ class Join:
         full = self.rows.filter("n > 0")
         self.classes = scratch.save(full.groupBy("class").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "sketch", "roots"))))
 
-    def split(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Small nodes of two classes and more, and large ones; written. Roots get their sketches only now."""
+    def split(self, nodes: DataFrame) -> DataFrame:
+        """Nodes of two classes and more, with their sizes; written. Roots get their sketches only now."""
         counts = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         both = nodes.join(counts, "node")
         if "sketch" not in nodes.columns:
             both = self.scratch.save(both).join(self.classes.select("class", "n", "sketch"), "class")
-        both = self.scratch.save(both.select("node", "class", "n", "sketch", "size"))
-        return both.filter(F.col("size") <= SMALL).drop("size"), both.filter(F.col("size") > SMALL).drop("size")
-
-    def forest(self) -> tuple[DataFrame, DataFrame]:
-        """Small nodes of all levels, and what is still large."""
-        few, many = self.split(self.classes.select("class", "roots").mapInArrow(_root, "node long, class binary"))
-        for _ in range(LEVELS - 1):
-            if many.isEmpty():
-                break
-            more, many = self.split(many.mapInArrow(_branch, NODE))
-            few = few.unionByName(more)
-        return few, many
+        return self.scratch.save(both.select("node", "class", "n", "sketch", "size"))
 
     def verify(self, groups: DataFrame) -> DataFrame:
         """The links within groups (g, class) that reach the threshold on full sets, as spanning forests."""
@@ -369,15 +372,14 @@ class Join:
         self.scratch.drop(ids)
         return out
 
-    def led(self, few: DataFrame, many: DataFrame) -> DataFrame:
+    def led(self, nodes: DataFrame) -> DataFrame:
         """Groups of one leader and a bounded number of its followers: each class follows at most one."""
-        # a large node is cut into blocks, each with the node's first class for a leader
-        size = many.groupBy("node").agg(F.count("*").alias("size"), F.min_by(F.struct("class", "sketch"), F.col("class")).alias("first"))
-        size = self.scratch.save(size.withColumn("blocks", F.ceil(F.col("size") / SMALL)))
-        cut = many.join(size.select("node", "blocks"), "node").select(F.xxhash64("node", F.pmod(F.xxhash64("class"), F.col("blocks"))).alias("node"), "class", "sketch")
-        first = size.select("node", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select(F.xxhash64("node", F.col("k")).alias("node"), "first.class", "first.sketch")
-        blocks = cut.unionByName(first).dropDuplicates(["node", "class"])
-        pairs = self.by_node(few.select("node", "class", "sketch").unionByName(blocks)).mapInArrow(_leaders, PAIR)
+        # a large node is cut into parts, each with the node's first class for a leader
+        parts = F.ceil(F.col("size") / LED)
+        cut = nodes.select(F.when(F.col("size") <= LED, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("class"), parts))).alias("node"), "class", "sketch")
+        large = nodes.filter(F.col("size") > LED).groupBy("node").agg(F.max(parts).alias("parts"), F.min_by(F.struct("class", "sketch"), F.col("class")).alias("first"))
+        first = large.select("node", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k")).select(F.xxhash64("node", F.col("k")).alias("node"), "first.class", "first.sketch")
+        pairs = self.by_node(cut.unionByName(first)).mapInArrow(_leaders, PAIR).filter("a <> b")
         pairs = self.scratch.save(pairs.groupBy("b").agg(F.min("a").alias("a")).join(self.classes.select(F.col("class").alias("b"), "n"), "b"))
         count = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / LONG)).alias("blocks"))
         follow = pairs.join(count, "a").select("a", F.col("b").alias("class"), F.xxhash64("a", F.pmod(F.xxhash64("b", F.lit(3)), F.col("blocks"))).alias("g"))
@@ -410,7 +412,7 @@ class Join:
 
     def against(self, many: DataFrame) -> DataFrame:
         """Large nodes as small ones that hold each pair of the node's blocks: exact, whatever the node's size."""
-        half = SMALL // 3
+        half = max(2, SMALL // 3)
         size = many.groupBy("node").agg(F.ceil(F.count("*") / half).alias("blocks"))
         mine = many.join(size, "node").withColumn("k", F.pmod(F.xxhash64("class", F.lit(9)), F.col("blocks")))
         other = mine.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -418,17 +420,21 @@ class Join:
 
     def run(self) -> DataFrame:
         """(class, root) for the classes that are linked to another."""
-        few, many = self.forest()
-        edges = self.verify(self.led(few, many))
+        nodes = self.split(self.classes.select("class", "roots").mapInArrow(_root, "node long, class binary"))
+        edges = self.verify(self.led(nodes))
         labels = self.scratch.save(components(self.scratch, edges))
-        pairs = self.apart(few, labels)
+        small = F.col("size") <= SMALL
+        pairs, many = self.apart(nodes.filter(small), labels), nodes.filter(~small)
         # what is large and still mixed branches on; each level is written, so plans stay small
         for level in range(DEEPEST + 1):
             many = self.scratch.save(self.mixed(many, labels).drop("root"))
             if many.isEmpty():
                 break
-            few, many = self.split(many.mapInArrow(_branch, NODE)) if level < DEEPEST else (self.against(many), many.limit(0))
-            pairs = pairs.unionByName(self.apart(few, labels))
+            if level == DEEPEST:
+                pairs = pairs.unionByName(self.apart(self.against(many), labels))
+                break
+            nodes = self.split(many.mapInArrow(_branch, NODE))
+            pairs, many = pairs.unionByName(self.apart(nodes.filter(small), labels)), nodes.filter(~small)
         if pairs.isEmpty():
             return labels
         return self.scratch.save(components(self.scratch, edges.unionByName(self.verify(self.families(pairs)))))

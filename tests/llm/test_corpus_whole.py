@@ -88,10 +88,10 @@ def families(texts):
     return [find(x) for x in range(len(texts))]
 
 
-@pytest.mark.parametrize(("small", "levels", "deepest", "group"), [(1024, 7, 12, 384), (48, 2, 0, 16), (32, 1, 3, 8)])
-def test_near_duplicates_of_a_crowd_under_the_threshold(spark, monkeypatch, small, levels, deepest, group):
+@pytest.mark.parametrize(("small", "led", "deepest", "group"), [(8192, 1024, 12, 384), (48, 16, 0, 16), (32, 9, 3, 8)])
+def test_near_duplicates_of_a_crowd_under_the_threshold(spark, monkeypatch, small, led, deepest, group):
     """Texts that share two thirds with each other, none linked but for edited copies: every path finds the same links, and no list of pairs is made."""
-    for name, value in (("SMALL", small), ("LEVELS", levels), ("DEEPEST", deepest), ("GROUP", group)):
+    for name, value in (("SMALL", small), ("LED", led), ("DEEPEST", deepest), ("GROUP", group)):
         monkeypatch.setattr(neardup, name, value)
     rng = np.random.default_rng(10)
     words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
