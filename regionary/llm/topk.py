@@ -10,8 +10,8 @@ Queries and candidates meet in blocks against blocks, so memory is bounded by th
 queries times candidates at worst. Equal vectors share a tree point and are all scored.
 
 Defined results: null and incomplete vectors (null or not finite components) take no part, neither do null ids;
-vectors of unlike length are not compared; repeated rows are candidates each, and a query row asks once
-for each of its repetitions' ids (rows with the query's id are its own); other columns are ignored.
+vectors of unlike length are not compared; repeated rows are candidates each, and an id asks once, of several
+vectors by the one whose bytes come first (rows with the query's id are its own); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -178,7 +178,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
     with Scratch(vectors.sparkSession, "topk") as scratch:
         rows = scratch.save(vectors.select("vec_id", "embedding").mapInArrow(_integers, "vec_id long, vector binary, size long"))
-        asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
+        asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min(F.struct("vector", "size")).alias("v")).select("vec_id", "v.*")
         counts = rows.agg(F.count("*").alias("n"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0).alias("q")).first()
         blocks, groups = max(1, -(-counts["n"] // CANDIDATES)), max(1, -(-counts["q"] // QUERIES))
         every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
