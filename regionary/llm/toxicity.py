@@ -24,12 +24,13 @@ from . import grams
 LONGEST = 40
 LABELLED = 2500
 WIDTH = 1 + len(grams.STEMS)
-EPOCHS = 80
-RATE = 0.05
-SHRINK = 0.01
+#: Chosen by four-fold cross-validation within the rows that may teach: the least logarithmic loss, with BIAS and TRUST as they were.
+EPOCHS = 40
+RATE = 0.01
+SHRINK = 0.003
 MOMENTUM = 0.5
-CLEAN_WEIGHT = 2.0
-LEAST_DOCS = 3
+CLEAN_WEIGHT = 1.0
+LEAST_DOCS = 5
 TRUST = 8.0
 BIAS = -8.0
 #: How many features are worked on at once in the fit, to bound the driver's memory.
