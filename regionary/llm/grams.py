@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable
 
@@ -11,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import memo
+
 BITS = 18
 MEMO_WORDS = 250_000
 LABELLED = 4000
@@ -71,10 +72,9 @@ class Words:
         return np.array([number[w] for w in words], np.int64)
 
 
-@functools.lru_cache(maxsize=1)
 def words_here() -> Words:
     """One memo per Python worker, kept from task to task."""
-    return Words()
+    return memo("words", Words)
 
 
 def mod(name: str, m: int) -> Column:

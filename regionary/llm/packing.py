@@ -11,7 +11,6 @@ rows are packed once each; other columns are ignored; an empty table gives an em
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean, memo
 
 WINDOW = 4096
 END_ID = 2
 MEMO_WORDS = 400_000
 #: About how much text is tokenised at once.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -146,10 +145,9 @@ class WordTokens:
         return ids, n
 
 
-@functools.lru_cache(maxsize=1)
 def _tokens(path: str, end_id: int) -> WordTokens:
     """One memo per Python worker, kept from task to task."""
-    return WordTokens(path, end_id)
+    return memo(f"tokens {end_id} {path}", lambda: WordTokens(path, end_id))
 
 
 def _slices(texts: pa.StringArray) -> Iterator[pa.StringArray]:
@@ -215,11 +213,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     schema = "doc_id long, ids binary, n long, part long, start long, width int"
-    tokens = scratch.save(docs.select("doc_id", "text").mapInArrow(_pass_one(tokenizer_path, end_id), schema), keep=True)
+    tokens = scratch.save(docs.select("doc_id", "text").mapInArrow(lean(_pass_one(tokenizer_path, end_id), keep=True), schema), keep=True)
     totals = tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()
     offsets: dict[int, int] = {}
     at = 0
     for part, n in sorted((r["part"], r["n"]) for r in totals):
         offsets[part] = at
         at += n
-    return tokens.mapInArrow(_pass_two(offsets, window), PIECES)
+    return tokens.mapInArrow(lean(_pass_two(offsets, window)), PIECES)

@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 6
 SAMPLE = 1500
@@ -411,4 +413,4 @@ def redact(docs: DataFrame, w: np.ndarray) -> DataFrame:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

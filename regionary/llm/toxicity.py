@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
+from .common import lean
 
 LONGEST = 40
 LABELLED = 2500
@@ -183,4 +184,4 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
             good = [model.score(*sentences(t.as_py(), words))[0] < limit for t in batch.column("text")]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run, keep=True), schema)

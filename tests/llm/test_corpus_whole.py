@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from regionary.llm import mixing, neardup, packing, pii, query, secrets, topk, toxicity
+from regionary.llm import common, grams, mixing, neardup, packing, pii, query, secrets, topk, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -289,3 +289,11 @@ def test_ownership_tells_examples_from_credentials(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: [s["live"] for s in r["spans"]] for r in secrets.scan(docs).collect()}
     assert any(got[20]) and not any(got[0]) and not any(got[30])
+
+
+def test_a_worker_holds_one_operators_memo():
+    words = grams.words_here()
+    assert grams.words_here() is words
+    tokens = packing._tokens(query.tokenizer_path(), 2)
+    assert packing._tokens(query.tokenizer_path(), 2) is tokens and list(common._MEMO.values()) == [tokens]
+    assert list(common.lean(lambda batches: iter([len(common._MEMO)]))(iter([]))) == [0] and not common._MEMO
