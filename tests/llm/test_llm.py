@@ -116,6 +116,24 @@ def test_repeats(docs, empty, monkeypatch, shard):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_passages_of_over_50_words_go_by_their_bytes(spark):
+    """Whether a shared passage goes is fixed by its 400 bytes, not by its words; part of a letter counts as a byte."""
+    rng = np.random.default_rng(11)
+    passages = []
+    for size in (271, 394, 399, 400, 401):
+        words = " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(100))
+        passages.append(words[: size - 1] + "x")
+    assert all(len(p.split()) > 50 for p in passages)
+    rows = [(10 * k + side, f"{side} own words {'<('[side]}{p}{'>)'[side]} more of {side}") for k, p in enumerate(passages) for side in (0, 1)]
+    # 399 bytes and the first byte of two different letters
+    rows += [(90 + side, f"{'<('[side]}{passages[2][::-1]}{'éè'[side]}") for side in (0, 1)]
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    bodies = [t.encode() for _, t in rows]
+    for (i, _), body, (kept, spans) in zip(rows, bodies, brute_windows(bodies, 400), strict=True):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == (len(body), len(body) - len(kept), spans, kept)
+    assert [got[10 * k]["n_removed"] for k in range(len(passages))] == [0, 0, 0, 400, 401] and got[90]["n_removed"] == got[91]["n_removed"] == 400
+
+
 def test_match_lengths():
     rng = np.random.default_rng(3)
     bodies = [bytes(rng.choice(list(b"ab"), 60).tolist()) for _ in range(4)] + [b"ab" * 30]
